@@ -22,7 +22,7 @@ def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_corpus(documents_corpus(spark, sf_dir))
 
 
-def labels_by_setting(clean: DataFrame, settings=SETTINGS) -> DataFrame:
+def labels_by_setting(clean: DataFrame, settings=SETTINGS, extra=()) -> DataFrame:
     """(doc_id, min_cluster_size, cluster): class groups, -1 below the setting.
 
     group = (lang, source) for settings <= 10, source for 20, lang above; a
@@ -32,21 +32,37 @@ def labels_by_setting(clean: DataFrame, settings=SETTINGS) -> DataFrame:
     """
     cs_df = clean.sparkSession.createDataFrame([(int(s),) for s in settings],
                                                "min_cluster_size int")
-    grp = (clean.select("doc_id", "lang", "source").crossJoin(F.broadcast(cs_df))
-           .select("doc_id", "min_cluster_size",
+    extra = list(extra)
+    grp = (clean.select(*extra, "doc_id", "lang", "source").crossJoin(F.broadcast(cs_df))
+           .select(*extra, "doc_id", "min_cluster_size",
                    F.when(F.col("min_cluster_size") <= 10, F.concat_ws("/", "lang", "source"))
                    .when(F.col("min_cluster_size") == 20, F.col("source"))
                    .otherwise(F.col("lang")).alias("g")))
-    sizes = grp.groupBy("min_cluster_size", "g").agg(F.count(F.lit(1)).alias("n"))
+    sizes = grp.groupBy(*extra, "min_cluster_size", "g").agg(F.count(F.lit(1)).alias("n"))
     ids = (sizes.filter(F.col("n") >= F.col("min_cluster_size"))
            .withColumn("gid", (F.dense_rank().over(
-               Window.partitionBy("min_cluster_size").orderBy("g")) - 1).cast("int"))
-           .select("min_cluster_size", "g", "gid"))
+               Window.partitionBy(*extra, "min_cluster_size").orderBy("g")) - 1).cast("int"))
+           .select(*extra, "min_cluster_size", "g", "gid"))
     # ids: one row per class and setting; AQE broadcasts it when its measured size is small
-    return (grp.join(ids, ["min_cluster_size", "g"], "left")
-            .select("doc_id", F.col("min_cluster_size").cast("int"),
+    return (grp.join(ids, extra + ["min_cluster_size", "g"], "left")
+            .select(*extra, "doc_id", F.col("min_cluster_size").cast("int"),
                     F.coalesce("gid", F.lit(-1)).cast("int").alias("cluster")))
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings")
+
+
+def bootstrap_labels(clean: DataFrame, runs: int = 8, settings=SETTINGS) -> DataFrame:
+    """(run, doc_id, min_cluster_size, cluster): labels re-derived on each run's draw."""
+    from docsift.operators.quality import bootstrap_members
+    members = bootstrap_members(clean, runs)
+    drawn = members.join(clean.select("doc_id", "lang", "source"), "doc_id")
+    return labels_by_setting(drawn, settings, extra=["run"])
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`embeddings` as (doc_id, vec) and its labels as (doc_id, cluster)."""
+    return read_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"),
+        F.col("label").cast("int").alias("cluster"))

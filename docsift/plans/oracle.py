@@ -134,3 +134,261 @@ SELECT count(*) AS n_docs, min(Tokens_in_Clean_Input) AS min_tokens,
 t AS (SELECT doc_id, {coherence("abstract")} AS toks FROM clean)
 SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens, array_to_string(toks, ' ') AS tokens FROM t""",
 })
+
+
+# --- topics ---------------------------------------------------------------------------
+def _r(e: str) -> str:
+    return f"round({e}, 6)"
+
+
+TOPIC = LABELS + f""",
+t_sizes AS (SELECT min_cluster_size, cluster, count(*) AS n FROM labels_cs WHERE cluster <> -1 GROUP BY ALL),
+t_ids AS (SELECT min_cluster_size, cluster,
+                 CAST(row_number() OVER (PARTITION BY min_cluster_size ORDER BY n DESC, cluster) - 1 AS INTEGER) AS topic
+          FROM t_sizes),
+assign AS (SELECT l.min_cluster_size, l.doc_id, l.cluster, CAST(coalesce(t_ids.topic, -1) AS INTEGER) AS topic
+           FROM labels_cs l LEFT JOIN t_ids USING (min_cluster_size, cluster)),
+dtf AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({alnum("title_abstract")}) AS term FROM clean)
+        GROUP BY ALL),
+tf AS (SELECT a.min_cluster_size, a.topic, d.term, CAST(sum(d.n) AS BIGINT) AS tf
+       FROM dtf d JOIN assign a USING (doc_id) GROUP BY ALL),
+fq AS (SELECT min_cluster_size, term, sum(tf) AS f FROM tf GROUP BY ALL),
+aa AS (SELECT min_cluster_size, sum(tf) / count(DISTINCT topic) AS A FROM tf GROUP BY ALL),
+ct AS (SELECT tf.min_cluster_size, topic, term, tf, tf * ln(1 + A / f) AS weight
+       FROM tf JOIN fq USING (min_cluster_size, term) JOIN aa USING (min_cluster_size)),
+words AS (SELECT * FROM (SELECT min_cluster_size, topic,
+                 CAST(row_number() OVER (PARTITION BY min_cluster_size, topic ORDER BY weight DESC, term) AS INTEGER) AS rank,
+                 term, weight AS score FROM ct) WHERE rank <= 10),
+nm AS (SELECT min_cluster_size, topic, string_agg(term, '_' ORDER BY rank) AS nm FROM words WHERE rank <= 4 GROUP BY ALL),
+rep AS (SELECT min_cluster_size, topic, string_agg(term, ' ' ORDER BY rank) AS representation FROM words GROUP BY ALL),
+freq AS (SELECT min_cluster_size, topic, count(*) AS count FROM assign GROUP BY ALL),
+info AS (SELECT freq.min_cluster_size, freq.topic, count, concat_ws('_', CAST(freq.topic AS VARCHAR), nm) AS name,
+                coalesce(representation, '') AS representation
+         FROM freq LEFT JOIN nm USING (min_cluster_size, topic) LEFT JOIN rep USING (min_cluster_size, topic)),
+lbl AS (SELECT min_cluster_size, topic, string_agg(term, ' ' ORDER BY rank) AS label FROM words WHERE rank <= 3 GROUP BY ALL),
+idf AS (SELECT min_cluster_size, topic, term, weight, weight / tf AS idf FROM ct),
+tnorm AS (SELECT min_cluster_size, topic, sqrt(sum(weight * weight)) AS tn FROM ct GROUP BY ALL),
+dper AS (SELECT a.min_cluster_size, a.topic, d.doc_id, sum(d.n * idf.idf * idf.weight) AS dot,
+                sqrt(sum((d.n * idf.idf) * (d.n * idf.idf))) AS dn
+         FROM dtf d JOIN assign a USING (doc_id) JOIN idf ON idf.min_cluster_size = a.min_cluster_size
+              AND idf.topic = a.topic AND idf.term = d.term GROUP BY ALL),
+reps AS (SELECT * FROM (SELECT dper.min_cluster_size, dper.topic, dper.doc_id, dot / (dn * tn) AS similarity,
+                CAST(row_number() OVER (PARTITION BY dper.min_cluster_size, dper.topic
+                     ORDER BY round(dot / (dn * tn), 9) DESC, dper.doc_id) AS INTEGER) AS rank
+                FROM dper JOIN tnorm USING (min_cluster_size, topic)) WHERE rank <= 3)"""
+
+PROMPT_SQL = "'" + __import__("docsift.operators.topics", fromlist=["x"]).PROMPT_TEMPLATE.replace("'", "''") + "'"
+
+ORACLE.update({
+    "topic_ids": f"WITH {TOPIC} SELECT min_cluster_size, doc_id, cluster, topic FROM assign",
+    "ctfidf": f"WITH {TOPIC} SELECT min_cluster_size, topic, term, tf, {_r('weight')} AS weight FROM ct",
+    "topic_words": f"WITH {TOPIC} SELECT min_cluster_size, topic, rank, term, {_r('score')} AS score FROM words",
+    "topic_info": f"WITH {TOPIC} SELECT * FROM info",
+    "topic_freq": f"WITH {TOPIC} SELECT * FROM freq",
+    "doc_assignments": f"""WITH {TOPIC}
+SELECT a.min_cluster_size, a.doc_id, c.title, a.topic FROM assign a JOIN clean c USING (doc_id)""",
+    "titles_report": f"""WITH {TOPIC}
+SELECT a.min_cluster_size, a.topic, 1 AS part, a.doc_id, '- ' || c.title AS line FROM assign a JOIN clean c USING (doc_id)
+UNION ALL SELECT DISTINCT min_cluster_size, topic, 0, CAST(-1 AS BIGINT), 'Topic ' || CAST(topic AS VARCHAR) || ':' FROM assign
+UNION ALL SELECT DISTINCT min_cluster_size, topic, 2, CAST(-1 AS BIGINT), '' FROM assign""",
+    "representative_docs": f"""WITH {TOPIC}
+SELECT min_cluster_size, topic, rank, doc_id, {_r('similarity')} AS similarity FROM reps""",
+    "topic_diff": f"""WITH {TOPIC},
+dtf2 AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({coherence("title_abstract")}) AS term FROM clean) GROUP BY ALL),
+tf2 AS (SELECT a.min_cluster_size, a.topic, d.term, CAST(sum(d.n) AS BIGINT) AS tf FROM dtf2 d JOIN assign a USING (doc_id) GROUP BY ALL),
+fq2 AS (SELECT min_cluster_size, term, sum(tf) AS f FROM tf2 GROUP BY ALL),
+aa2 AS (SELECT min_cluster_size, sum(tf) / count(DISTINCT topic) AS A FROM tf2 GROUP BY ALL),
+ct2 AS (SELECT tf2.min_cluster_size, topic, term, tf * ln(1 + A / f) AS weight FROM tf2 JOIN fq2 USING (min_cluster_size, term) JOIN aa2 USING (min_cluster_size)),
+w2 AS (SELECT * FROM (SELECT min_cluster_size, topic, row_number() OVER (PARTITION BY min_cluster_size, topic ORDER BY weight DESC, term) AS rank, term FROM ct2) WHERE rank <= 5),
+o1 AS (SELECT min_cluster_size, topic, string_agg(term, ' | ' ORDER BY rank) AS original FROM words WHERE rank <= 5 GROUP BY ALL),
+o2 AS (SELECT min_cluster_size, topic, string_agg(term, ' | ' ORDER BY rank) AS updated FROM w2 GROUP BY ALL)
+SELECT min_cluster_size, topic, coalesce(original, '') AS original, coalesce(updated, '') AS updated
+FROM o1 FULL OUTER JOIN o2 USING (min_cluster_size, topic) WHERE topic <> -1""",
+    "label_prompt": f"""WITH {TOPIC},
+kw AS (SELECT min_cluster_size, topic, string_agg(term, ', ' ORDER BY rank) AS kw FROM words GROUP BY ALL),
+dd AS (SELECT r.min_cluster_size, r.topic, string_agg('- ' || c.title, chr(10) ORDER BY r.rank) AS docs
+       FROM reps r JOIN clean c USING (doc_id) GROUP BY ALL)
+SELECT kw.min_cluster_size, kw.topic,
+       replace(replace({PROMPT_SQL}, '[DOCUMENTS]', coalesce(dd.docs, '')), '[KEYWORDS]', kw.kw) AS prompt
+FROM kw LEFT JOIN dd USING (min_cluster_size, topic)""",
+    "topic_labels": f"WITH {TOPIC} SELECT * FROM lbl",
+    "label_changes": f"""WITH {TOPIC}
+SELECT i.min_cluster_size, i.topic, i.name AS old_label, coalesce(l.label, '') AS new_label
+FROM info i LEFT JOIN lbl l USING (min_cluster_size, topic) WHERE i.name <> coalesce(l.label, '')""",
+    "topics_to_show": f"""WITH {TOPIC}
+SELECT min_cluster_size, topic FROM (SELECT min_cluster_size, topic,
+       row_number() OVER (PARTITION BY min_cluster_size ORDER BY topic) AS r
+       FROM (SELECT DISTINCT min_cluster_size, topic FROM assign WHERE topic <> -1)) WHERE r <= 17""",
+    "barchart_data": f"""WITH {TOPIC}
+SELECT min_cluster_size, topic, rank, term, {_r('score')} AS score FROM words
+WHERE topic >= 0 AND topic < 8 AND rank <= 5""",
+    "topic_similarity": f"""WITH {TOPIC},
+nrm AS (SELECT min_cluster_size, topic, sqrt(sum(weight * weight)) AS n FROM ct GROUP BY ALL),
+dt AS (SELECT a.min_cluster_size, a.topic AS topic_a, b.topic AS topic_b, sum(a.weight * b.weight) AS dot
+       FROM ct a JOIN ct b ON a.min_cluster_size = b.min_cluster_size AND a.term = b.term GROUP BY ALL)
+SELECT dt.min_cluster_size, topic_a, topic_b, {_r('dot / (na.n * nb.n)')} AS similarity
+FROM dt JOIN nrm na ON na.min_cluster_size = dt.min_cluster_size AND na.topic = topic_a
+        JOIN nrm nb ON nb.min_cluster_size = dt.min_cluster_size AND nb.topic = topic_b""",
+    "heatmap_k": f"""WITH {TOPIC},
+nt AS (SELECT min_cluster_size, count(DISTINCT CASE WHEN topic <> -1 THEN topic END) AS n_topics FROM assign GROUP BY ALL)
+SELECT min_cluster_size, n_topics,
+       CAST(CASE WHEN n_topics > 1 THEN greatest(1, least(15, n_topics - 1)) END AS INTEGER) AS n_groups FROM nt""",
+})
+
+# --- coherence ------------------------------------------------------------------------
+COH = TOPIC + f""",
+ctoks AS (SELECT doc_id, {coherence("abstract")} AS toks FROM clean),
+lists AS (SELECT min_cluster_size, topic, rank, term FROM (
+            SELECT *, count(*) OVER (PARTITION BY min_cluster_size, topic) AS c FROM words
+            WHERE topic <> -1 AND rank <= 10) WHERE c >= 2),
+vocab AS (SELECT DISTINCT min_cluster_size, term FROM lists),
+dv AS (SELECT v.min_cluster_size, t.doc_id, t.term
+       FROM (SELECT doc_id, unnest(list_distinct(toks)) AS term FROM ctoks) t JOIN vocab v USING (term)),
+wdf AS (SELECT min_cluster_size, term, count(*) AS df FROM dv GROUP BY ALL),
+tp AS (SELECT a.min_cluster_size, a.topic, a.rank AS rank_i, a.term AS term_i, b.rank AS rank_j, b.term AS term_j
+       FROM lists a JOIN lists b ON a.min_cluster_size = b.min_cluster_size AND a.topic = b.topic AND a.rank > b.rank),
+prs AS (SELECT DISTINCT min_cluster_size, least(term_i, term_j) AS a, greatest(term_i, term_j) AS b FROM tp
+        WHERE term_i <> term_j),
+pdf AS (SELECT p.min_cluster_size, p.a, p.b, count(*) AS df_ab FROM prs p
+        JOIN dv da ON da.min_cluster_size = p.min_cluster_size AND da.term = p.a
+        JOIN dv db ON db.min_cluster_size = p.min_cluster_size AND db.doc_id = da.doc_id AND db.term = p.b
+        GROUP BY ALL),
+nd AS (SELECT count(*) AS N FROM ctoks),
+st AS (SELECT tp.*, coalesce(pdf.df_ab, 0) AS df_ab, coalesce(wi.df, 0) AS df_i, coalesce(wj.df, 0) AS df_j, nd.N
+       FROM tp LEFT JOIN pdf ON pdf.min_cluster_size = tp.min_cluster_size AND pdf.a = least(term_i, term_j)
+                            AND pdf.b = greatest(term_i, term_j)
+       LEFT JOIN wdf wi ON wi.min_cluster_size = tp.min_cluster_size AND wi.term = term_i
+       LEFT JOIN wdf wj ON wj.min_cluster_size = tp.min_cluster_size AND wj.term = term_j, nd),
+pt AS (SELECT min_cluster_size, topic,
+              avg(CASE WHEN df_ab = 0 OR df_i = 0 OR df_j = 0 THEN -1.0 WHEN df_ab = N THEN 1.0
+                       ELSE ln((df_ab / N) / ((df_i / N) * (df_j / N))) / (-ln(df_ab / N)) END) AS npmi,
+              avg(CASE WHEN df_j > 0 THEN ln((df_ab + 1.0) / df_j) END) AS umass
+       FROM st GROUP BY ALL)"""
+
+ORACLE.update({
+    "word_df": f"WITH {COH} SELECT * FROM wdf",
+    "pair_df": f"WITH {COH} SELECT * FROM pdf",
+    "npmi": f"WITH {COH} SELECT min_cluster_size, topic, {_r('npmi')} AS npmi FROM pt",
+    "umass": f"WITH {COH} SELECT min_cluster_size, topic, {_r('umass')} AS umass FROM pt",
+    "coherence_summary": f"""WITH {COH},
+s AS (SELECT DISTINCT min_cluster_size FROM assign),
+g AS (SELECT min_cluster_size, avg(npmi) AS cn, avg(umass) AS cu, count(*) AS n FROM pt GROUP BY ALL)
+SELECT s.min_cluster_size, {_r('cn')} AS coherence_npmi, {_r('cu')} AS coherence_umass,
+       coalesce(n, 0) AS n_topics_evaluated FROM s LEFT JOIN g USING (min_cluster_size)""",
+})
+
+# --- quality --------------------------------------------------------------------------
+ORACLE.update({
+    "size_metrics": f"""WITH {LABELS},
+base AS (SELECT min_cluster_size, count(*) AS N_docs, avg(CAST(cluster <> -1 AS DOUBLE)) AS coverage
+         FROM labels_cs GROUP BY ALL),
+sz AS (SELECT min_cluster_size, cluster, count(*) AS n FROM labels_cs WHERE cluster <> -1 GROUP BY ALL),
+szr AS (SELECT *, row_number() OVER (PARTITION BY min_cluster_size ORDER BY n, cluster) AS i,
+               count(*) OVER (PARTITION BY min_cluster_size) AS k,
+               sum(n) OVER (PARTITION BY min_cluster_size) AS tot FROM sz),
+ag AS (SELECT min_cluster_size, count(*) AS n_clusters, max(n) AS max_cluster_size,
+              sum((2 * i - k - 1) * n) / (any_value(k) * any_value(tot)) AS gini_sizes,
+              -sum(n / tot * ln(n / tot)) + 0.0 AS entropy_sizes,
+              stddev_samp(n) / avg(n) AS cv_sizes FROM szr GROUP BY ALL)
+SELECT base.min_cluster_size, N_docs, {_r('coverage')} AS coverage,
+       CAST(coalesce(n_clusters, 0) AS BIGINT) AS n_clusters,
+       CAST(coalesce(max_cluster_size, 0) AS BIGINT) AS max_cluster_size,
+       {_r('gini_sizes')} AS gini_sizes, {_r('entropy_sizes')} AS entropy_sizes,
+       {_r('CASE WHEN n_clusters > 1 THEN entropy_sizes / ln(n_clusters) WHEN n_clusters IS NOT NULL THEN 0.0 END')}
+         AS entropy_sizes_normalized,
+       {_r('cv_sizes')} AS cv_sizes
+FROM base LEFT JOIN ag USING (min_cluster_size)""",
+    "silhouette_cosine": f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE label <> -1),
+ok AS (SELECT label FROM e GROUP BY label HAVING count(*) >= 2),
+e2 AS (SELECT * FROM e WHERE label IN (SELECT label FROM ok) AND list_dot_product(v, v) > 0),
+pr AS (SELECT a.vec_id, a.label AS la, b.label AS lb, 1 - list_cosine_similarity(a.v, b.v) AS d
+       FROM e2 a JOIN e2 b ON a.vec_id <> b.vec_id),
+per AS (SELECT vec_id, la, lb, avg(d) AS md FROM pr GROUP BY ALL),
+ab AS (SELECT vec_id, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b FROM per GROUP BY vec_id)
+SELECT {_r('CASE WHEN (SELECT count(DISTINCT label) FROM e2) >= 2 AND (SELECT count(*) FROM e2) > 10 THEN avg(CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0.0 END) END')} AS silhouette_cosine FROM ab""",
+    "davies_bouldin": f"""WITH x AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS v, unnest(range(len(embedding))) AS dim
+           FROM embeddings WHERE label <> -1),
+cen AS (SELECT label, dim, avg(v) AS mu FROM x GROUP BY ALL),
+dist AS (SELECT x.vec_id, x.label, sqrt(sum((v - mu) * (v - mu))) AS d FROM x JOIN cen USING (label, dim) GROUP BY ALL),
+sc AS (SELECT label, avg(d) AS s FROM dist GROUP BY ALL),
+cd AS (SELECT a.label AS la, b.label AS lb, sqrt(sum((a.mu - b.mu) * (a.mu - b.mu))) AS d
+       FROM cen a JOIN cen b ON a.dim = b.dim AND a.label <> b.label GROUP BY ALL),
+r AS (SELECT la, max(CASE WHEN cd.d > 0 THEN (s1.s + s2.s) / cd.d ELSE 0.0 END) AS r
+      FROM cd JOIN sc s1 ON s1.label = la JOIN sc s2 ON s2.label = lb GROUP BY la)
+SELECT {_r('CASE WHEN (SELECT count(*) FROM sc) < 2 THEN NULL WHEN (SELECT max(s) FROM sc) = 0 THEN 0.0 ELSE avg(r) END')} AS davies_bouldin FROM r""",
+    "calinski_harabasz": f"""WITH x AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS v, unnest(range(len(embedding))) AS dim
+           FROM embeddings WHERE label <> -1),
+cn AS (SELECT label, count(*) AS n FROM embeddings WHERE label <> -1 GROUP BY ALL),
+cen AS (SELECT label, dim, avg(v) AS mu FROM x GROUP BY ALL),
+gm AS (SELECT dim, avg(v) AS g FROM x GROUP BY ALL),
+bb AS (SELECT sum(cn.n * (mu - g) * (mu - g)) AS B FROM cen JOIN gm USING (dim) JOIN cn USING (label)),
+ww AS (SELECT sum((v - mu) * (v - mu)) AS W FROM x JOIN cen USING (label, dim)),
+kk AS (SELECT count(*) AS k, sum(n) AS n FROM cn)
+SELECT {_r('CASE WHEN k < 2 THEN NULL WHEN W = 0 THEN 1.0 ELSE (B / (k - 1)) / (W / (n - k)) END')} AS calinski_harabasz
+FROM bb, ww, kk""",
+    "ari_vi_adjacent": f"""WITH {LABELS},
+settings AS (SELECT DISTINCT min_cluster_size AS cs FROM labels_cs),
+pr AS (SELECT cs AS cs_a, lead(cs) OVER (ORDER BY cs) AS cs_b FROM settings),
+pairs AS (SELECT * FROM pr WHERE cs_b IS NOT NULL),
+common AS (SELECT p.cs_a, p.cs_b, a.cluster AS la, b.cluster AS lb FROM pairs p
+           JOIN labels_cs a ON a.min_cluster_size = p.cs_a AND a.cluster <> -1
+           JOIN labels_cs b ON b.min_cluster_size = p.cs_b AND b.doc_id = a.doc_id AND b.cluster <> -1),
+cont AS (SELECT cs_a, cs_b, la, lb, CAST(count(*) AS DOUBLE) AS nij FROM common GROUP BY ALL),
+ra AS (SELECT cs_a, cs_b, la, sum(nij) AS ai FROM cont GROUP BY ALL),
+rb AS (SELECT cs_a, cs_b, lb, sum(nij) AS bj FROM cont GROUP BY ALL),
+nn AS (SELECT cs_a, cs_b, sum(nij) AS n, sum(nij * nij) AS sq FROM cont GROUP BY ALL),
+sa AS (SELECT cs_a, cs_b, sum(ai * ai) AS sa FROM ra GROUP BY ALL),
+sb AS (SELECT cs_a, cs_b, sum(bj * bj) AS sb FROM rb GROUP BY ALL),
+mi AS (SELECT c.cs_a, c.cs_b, sum(nij / n * ln(n * nij / (ai * bj))) AS I FROM cont c
+       JOIN ra USING (cs_a, cs_b, la) JOIN rb USING (cs_a, cs_b, lb) JOIN nn USING (cs_a, cs_b) GROUP BY ALL),
+ha AS (SELECT ra.cs_a, ra.cs_b, sum(-(ai / n) * ln(ai / n)) AS Ha FROM ra JOIN nn USING (cs_a, cs_b) GROUP BY ALL),
+hb AS (SELECT rb.cs_a, rb.cs_b, sum(-(bj / n) * ln(bj / n)) AS Hb FROM rb JOIN nn USING (cs_a, cs_b) GROUP BY ALL),
+st AS (SELECT * FROM nn JOIN sa USING (cs_a, cs_b) JOIN sb USING (cs_a, cs_b) JOIN mi USING (cs_a, cs_b)
+       JOIN ha USING (cs_a, cs_b) JOIN hb USING (cs_a, cs_b)),
+f AS (SELECT *, sq - n AS tp, sb - sq AS fp, sa - sq AS fn, n * n - (sb - sq) - (sa - sq) - sq AS tn FROM st)
+SELECT p.cs_a, p.cs_b,
+       {_r('CASE WHEN coalesce(n, 0) >= 5 THEN CASE WHEN fn = 0 AND fp = 0 THEN 1.0 ELSE 2.0 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)) END END')} AS ARI,
+       {_r('CASE WHEN coalesce(n, 0) >= 5 THEN Ha + Hb - 2 * I END')} AS VI,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_common
+FROM pairs p LEFT JOIN f USING (cs_a, cs_b)""",
+})
+
+RUNS = CLEAN + """,
+runs AS (SELECT c.doc_id, CAST(r.run AS INTEGER) AS run, c.lang, c.source FROM clean c, range(8) r(run)
+         WHERE (c.doc_id * 7919 + r.run * 104729) % 1000 < 900),
+rgrp AS (SELECT run, doc_id, s.cs,
+                CASE WHEN s.cs <= 10 THEN lang || '/' || source WHEN s.cs = 20 THEN source ELSE lang END AS g
+         FROM runs, (VALUES (5), (10), (20), (30)) s(cs)),
+rn AS (SELECT run, cs, g, count(*) AS n FROM rgrp GROUP BY ALL),
+rid AS (SELECT run, cs, g, dense_rank() OVER (PARTITION BY run, cs ORDER BY g) - 1 AS gid FROM rn WHERE n >= cs),
+rl AS (SELECT rgrp.run, rgrp.cs, rgrp.doc_id, coalesce(rid.gid, -1) AS cl FROM rgrp LEFT JOIN rid USING (run, cs, g)),
+rsz AS (SELECT run, cs, cl, count(*) AS n FROM rl WHERE cl <> -1 GROUP BY ALL),
+rl2 AS (SELECT rl.run, rl.cs, rl.doc_id, CASE WHEN coalesce(rsz.n, 0) >= 2 THEN rl.cl ELSE -1 END AS cl
+        FROM rl LEFT JOIN rsz USING (run, cs, cl)),
+pp AS (SELECT a.cs, a.doc_id AS i, b.doc_id AS j, sum(CASE WHEN a.cl <> -1 AND a.cl = b.cl THEN 1 ELSE 0 END) AS co,
+              count(*) AS pres
+       FROM rl2 a JOIN rl2 b ON a.run = b.run AND a.cs = b.cs AND a.doc_id < b.doc_id GROUP BY ALL),
+mm AS (SELECT cs, count(DISTINCT doc_id) AS M FROM rl2 GROUP BY ALL),
+hist AS (SELECT cs, CAST(co AS INTEGER) AS co_runs, CAST(pres AS INTEGER) AS present_runs, count(*) AS n_pairs
+         FROM pp GROUP BY ALL
+         UNION ALL
+         SELECT mm.cs, 0, 0, CAST(M * (M - 1) / 2 - coalesce((SELECT count(*) FROM pp WHERE pp.cs = mm.cs), 0) AS BIGINT)
+         FROM mm),
+diag AS (SELECT cs, doc_id, count(*) AS pres, sum(CASE WHEN cl <> -1 THEN 1 ELSE 0 END) AS co FROM rl2 GROUP BY ALL)"""
+
+ORACLE.update({
+    "consensus_pairs": f"""WITH {RUNS}
+SELECT CAST(cs AS INTEGER) AS min_cluster_size, co_runs, present_runs, CAST(n_pairs AS BIGINT) AS n_pairs
+FROM hist WHERE n_pairs > 0""",
+    "pac": f"""WITH {RUNS},
+hs AS (SELECT cs, sum(CASE WHEN present_runs > 0 THEN n_pairs END) AS copres,
+              sum(CASE WHEN present_runs > 0 AND co_runs / present_runs > 0.1 AND co_runs / present_runs < 0.9 THEN n_pairs ELSE 0 END) AS amb,
+              sum(CASE WHEN present_runs > 0 AND co_runs / (co_runs + present_runs) > 0.1
+                        AND co_runs / (co_runs + present_runs) < 0.9 THEN n_pairs ELSE 0 END) AS amb_c
+       FROM hist GROUP BY ALL),
+ds AS (SELECT cs, count(*) AS M, sum(CASE WHEN co / (co + pres) > 0.1 AND co / (co + pres) < 0.9 THEN 1 ELSE 0 END) AS amb_d
+       FROM diag GROUP BY ALL)
+SELECT CAST(ds.cs AS INTEGER) AS min_cluster_size, {_r('amb / copres')} AS pac,
+       {_r('(2 * coalesce(amb_c, 0) + amb_d) / (M * M)')} AS pac_compat, CAST(M AS BIGINT) AS N_used
+FROM ds LEFT JOIN hs USING (cs)""",
+})

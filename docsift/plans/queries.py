@@ -82,3 +82,192 @@ QUERIES = {
     "token_distribution": q_token_distribution,
     "coherence_tokens": q_coherence_tokens,
 }
+
+
+# --- topics (F), sweep-keyed by min_cluster_size over the class labels ---------------
+from docsift.operators import coherence as H  # noqa: E402
+from docsift.operators import quality as G  # noqa: E402
+from docsift.operators import topics as T  # noqa: E402
+from docsift.operators.tokens import doc_term_freq as _dtf  # noqa: E402
+
+KEYS = ["min_cluster_size"]
+
+
+def _topic_model(spark, sf):
+    clean = bind.clean_documents(spark, sf)
+    assign = T.topic_ids(bind.labels_by_setting(clean), KEYS)
+    dtf = _dtf(clean)
+    ct = T.ctfidf(assign, dtf, KEYS)
+    words = T.topic_words(ct, 10, KEYS)
+    return clean, assign, dtf, ct, words
+
+
+def q_topic_ids(spark, sf):
+    return _topic_model(spark, sf)[1]
+
+
+def q_ctfidf(spark, sf):
+    return r6(_topic_model(spark, sf)[3])
+
+
+def q_topic_words(spark, sf):
+    return r6(_topic_model(spark, sf)[4])
+
+
+def q_topic_info(spark, sf):
+    _, assign, _, _, words = _topic_model(spark, sf)
+    return T.topic_info(assign, words, KEYS)
+
+
+def q_topic_freq(spark, sf):
+    return T.topic_freq(_topic_model(spark, sf)[1], KEYS)
+
+
+def q_doc_assignments(spark, sf):
+    clean, assign, *_ = _topic_model(spark, sf)
+    return T.doc_assignments(assign, clean, KEYS)
+
+
+def q_titles_report(spark, sf):
+    clean, assign, *_ = _topic_model(spark, sf)
+    return T.titles_report(assign, clean, KEYS)
+
+
+def q_representative_docs(spark, sf):
+    _, assign, dtf, ct, _ = _topic_model(spark, sf)
+    return r6(T.representative_docs(ct, dtf, assign, 3, KEYS))
+
+
+def q_topic_diff(spark, sf):
+    from docsift.functions.text import tokens_coherence
+    clean, assign, _, _, words = _topic_model(spark, sf)
+    dtf2 = (clean.select("doc_id", F.explode(tokens_coherence("title_abstract")).alias("term"))
+            .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")))
+    words2 = T.topic_words(T.ctfidf(assign, dtf2, KEYS), 10, KEYS)
+    return T.topic_diff(words, words2, 5, None, KEYS)
+
+
+def q_label_prompt(spark, sf):
+    clean, assign, dtf, ct, words = _topic_model(spark, sf)
+    reps = T.representative_docs(ct, dtf, assign, 3, KEYS)
+    return T.label_prompt(words, reps, clean, keys=KEYS)
+
+
+def q_topic_labels(spark, sf):
+    return T.topic_labels(_topic_model(spark, sf)[4], keys=KEYS)
+
+
+def q_label_changes(spark, sf):
+    _, assign, _, _, words = _topic_model(spark, sf)
+    old = T.topic_info(assign, words, KEYS).select(*KEYS, "topic", F.col("name").alias("label"))
+    return T.label_changes(old, T.topic_labels(words, keys=KEYS), KEYS)
+
+
+def q_topics_to_show(spark, sf):
+    return T.topics_to_show(_topic_model(spark, sf)[1], 17, KEYS)
+
+
+def q_barchart_data(spark, sf):
+    return r6(T.barchart_data(_topic_model(spark, sf)[4], keys=KEYS))
+
+
+def q_topic_similarity(spark, sf):
+    return r6(T.topic_similarity(_topic_model(spark, sf)[3], KEYS))
+
+
+def q_heatmap_k(spark, sf):
+    return T.heatmap_k(_topic_model(spark, sf)[1], keys=KEYS)
+
+
+# --- coherence (H) ---------------------------------------------------------------------
+def _coh(spark, sf):
+    clean, assign, _, _, words = _topic_model(spark, sf)
+    toks = C.coherence_tokens(clean)
+    lists = H.topic_word_lists(words, 10, KEYS)
+    dv = H.doc_vocab(toks, lists, KEYS)
+    return clean, assign, words, toks, lists, dv
+
+
+def q_word_df(spark, sf):
+    *_, dv = _coh(spark, sf)
+    return H.word_df(dv, KEYS)
+
+
+def q_pair_df(spark, sf):
+    *_, lists, dv = _coh(spark, sf)
+    return H.pair_df(dv, lists, KEYS)
+
+
+def q_npmi(spark, sf):
+    _, _, words, toks, _, _ = _coh(spark, sf)
+    return r6(H.npmi_umass(toks, words, 10, KEYS).select(*KEYS, "topic", "npmi"))
+
+
+def q_umass(spark, sf):
+    _, _, words, toks, _, _ = _coh(spark, sf)
+    return r6(H.npmi_umass(toks, words, 10, KEYS).select(*KEYS, "topic", "umass"))
+
+
+def q_coherence_summary(spark, sf):
+    _, assign, words, toks, _, _ = _coh(spark, sf)
+    per = H.npmi_umass(toks, words, 10, KEYS)
+    return r6(H.coherence_summary(per, assign, KEYS))
+
+
+# --- quality (G) -----------------------------------------------------------------------
+def q_size_metrics(spark, sf):
+    return r6(G.size_metrics(bind.labels_by_setting(bind.clean_documents(spark, sf)), KEYS))
+
+
+def _vec(spark, sf):
+    v = bind.vectors(spark, sf)
+    return v.select("doc_id", "cluster"), v.select("doc_id", "vec")
+
+
+def q_silhouette_cosine(spark, sf):
+    lab, vec = _vec(spark, sf)
+    return r6(G.silhouette_cosine(lab, vec))
+
+
+def q_davies_bouldin(spark, sf):
+    lab, vec = _vec(spark, sf)
+    return r6(G.davies_bouldin(lab, vec))
+
+
+def q_calinski_harabasz(spark, sf):
+    lab, vec = _vec(spark, sf)
+    return r6(G.calinski_harabasz(lab, vec))
+
+
+def q_ari_vi_adjacent(spark, sf):
+    return r6(G.agreement(bind.labels_by_setting(bind.clean_documents(spark, sf))))
+
+
+def _runs(spark, sf):
+    rl = bind.bootstrap_labels(bind.clean_documents(spark, sf))
+    return rl.select(*KEYS, "run", "doc_id", "cluster")
+
+
+def q_consensus_pairs(spark, sf):
+    return G.consensus_histogram(_runs(spark, sf), KEYS, runs=8)
+
+
+def q_pac(spark, sf):
+    rl = _runs(spark, sf)
+    return r6(G.pac(G.consensus_histogram(rl, KEYS, runs=8), rl, KEYS))
+
+
+QUERIES.update({
+    "topic_ids": q_topic_ids, "ctfidf": q_ctfidf, "topic_words": q_topic_words,
+    "topic_info": q_topic_info, "topic_freq": q_topic_freq, "doc_assignments": q_doc_assignments,
+    "titles_report": q_titles_report, "representative_docs": q_representative_docs,
+    "topic_diff": q_topic_diff, "label_prompt": q_label_prompt, "topic_labels": q_topic_labels,
+    "label_changes": q_label_changes, "topics_to_show": q_topics_to_show,
+    "barchart_data": q_barchart_data, "topic_similarity": q_topic_similarity,
+    "heatmap_k": q_heatmap_k,
+    "word_df": q_word_df, "pair_df": q_pair_df, "npmi": q_npmi, "umass": q_umass,
+    "coherence_summary": q_coherence_summary,
+    "size_metrics": q_size_metrics, "silhouette_cosine": q_silhouette_cosine,
+    "davies_bouldin": q_davies_bouldin, "calinski_harabasz": q_calinski_harabasz,
+    "ari_vi_adjacent": q_ari_vi_adjacent, "consensus_pairs": q_consensus_pairs, "pac": q_pac,
+})
