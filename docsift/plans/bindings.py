@@ -30,10 +30,9 @@ def labels_by_setting(clean: DataFrame, settings=SETTINGS, extra=()) -> DataFram
     the group name within the setting.  The group table is small (one row per
     class and setting), the document side is never shuffled by a window.
     """
-    cs_df = clean.sparkSession.createDataFrame([(int(s),) for s in settings],
-                                               "min_cluster_size int")
     extra = list(extra)
-    grp = (clean.select(*extra, "doc_id", "lang", "source").crossJoin(F.broadcast(cs_df))
+    grp = (clean.select(*extra, "doc_id", "lang", "source",
+                        F.explode(F.array(*[F.lit(int(s)) for s in settings])).alias("min_cluster_size"))
            .select(*extra, "doc_id", "min_cluster_size",
                    F.when(F.col("min_cluster_size") <= 10, F.concat_ws("/", "lang", "source"))
                    .when(F.col("min_cluster_size") == 20, F.col("source"))
