@@ -392,3 +392,47 @@ SELECT CAST(ds.cs AS INTEGER) AS min_cluster_size, {_r('amb / copres')} AS pac,
        {_r('(2 * coalesce(amb_c, 0) + amb_d) / (M * M)')} AS pac_compat, CAST(M AS BIGINT) AS N_used
 FROM ds LEFT JOIN hs USING (cs)""",
 })
+
+
+# --- vectors --------------------------------------------------------------------------
+_EMB = "SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings"
+_KNN = f"""e AS ({_EMB}),
+pr AS (SELECT a.doc_id, b.doc_id AS nbr, greatest(least(1 - list_cosine_similarity(a.v, b.v), 2.0), 0.0) AS dist
+       FROM e a JOIN e b ON a.doc_id <> b.doc_id),
+knn AS (SELECT * FROM (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(dist, 9), nbr) AS INTEGER) AS rank,
+        nbr, dist FROM pr) WHERE rank <= 10)"""
+
+
+def _wide(n: int) -> str:
+    return ", ".join(f"round(v[{i + 1}], 6) AS d{i}" for i in range(n))
+
+
+ORACLE.update({
+    "l2_normalise": f"""WITH e AS ({_EMB}),
+n AS (SELECT doc_id, v, sqrt(list_dot_product(v, v)) AS nr FROM e),
+u AS (SELECT doc_id, unnest(v) AS x, unnest(range(len(v))) AS dim, nr FROM n)
+SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(CASE WHEN nr > 0 THEN x / nr ELSE 0.0 END, 6) AS value FROM u""",
+    "melt_embedding": f"""WITH e AS ({_EMB}),
+u AS (SELECT doc_id, unnest(v) AS x, unnest(range(len(v))) AS dim FROM e)
+SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(x, 6) AS value FROM u""",
+    "embedding_meta": f"""WITH e AS ({_EMB}),
+a AS (SELECT count(*) AS n, max(len(v)) AS d, avg(CAST(abs(sqrt(list_dot_product(v, v)) - 1) < 1e-3 AS DOUBLE)) AS u FROM e)
+SELECT 'model' AS key, 'given' AS value UNION ALL SELECT 'input', 'embeddings'
+UNION ALL SELECT 'n_docs', CAST(n AS VARCHAR) FROM a UNION ALL SELECT 'dim', CAST(d AS VARCHAR) FROM a
+UNION ALL SELECT 'unit_share', CAST(round(u, 6) AS VARCHAR) FROM a""",
+    "scatter_split": f"""WITH e AS ({_EMB})
+SELECT doc_id, round(v[1], 6) AS x, round(v[2], 6) AS y, CASE WHEN label = 9 THEN -1 ELSE label END AS cluster,
+       label = 9 AS is_noise FROM e""",
+    "knn_exact": f"WITH {_KNN} SELECT doc_id, rank, nbr, round(dist, 6) AS dist FROM knn",
+    "core_distance": f"WITH {_KNN} SELECT doc_id, round(max(dist), 6) AS core FROM knn WHERE rank <= 4 GROUP BY doc_id",
+    "mutual_reach": f"""WITH {_KNN},
+core AS (SELECT doc_id, max(dist) AS core FROM knn WHERE rank <= 4 GROUP BY doc_id),
+ed AS (SELECT least(doc_id, nbr) AS lo, greatest(doc_id, nbr) AS hi, min(dist) AS d FROM knn WHERE rank <= 4 GROUP BY ALL)
+SELECT lo, hi, round(d, 6) AS d, round(greatest(c1.core, c2.core, d), 6) AS w
+FROM ed JOIN core c1 ON c1.doc_id = lo JOIN core c2 ON c2.doc_id = hi""",
+})
+
+
+ORACLE["wide_embedding"] = f"""PIVOT (SELECT doc_id, 'd' || CAST(dim AS VARCHAR) AS col, round(x, 6) AS value
+       FROM (SELECT doc_id, unnest(v) AS x, unnest(range(len(v))) AS dim FROM ({_EMB})))
+ON col USING first(value) GROUP BY doc_id"""

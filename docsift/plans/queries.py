@@ -271,3 +271,97 @@ QUERIES.update({
     "davies_bouldin": q_davies_bouldin, "calinski_harabasz": q_calinski_harabasz,
     "ari_vi_adjacent": q_ari_vi_adjacent, "consensus_pairs": q_consensus_pairs, "pac": q_pac,
 })
+
+
+# --- vectors (D) and density (E) -------------------------------------------------------
+from docsift.functions.vectors import l2norm as _l2norm  # noqa: E402
+from docsift.operators import density as Dn  # noqa: E402
+from docsift.operators import knn as Kn  # noqa: E402
+from docsift.operators import vectors as V  # noqa: E402
+
+SWEEP = (5, 10, 20, 30, 50, 75, 100)
+
+
+def _vecs(spark, sf):
+    return bind.vectors(spark, sf).select("doc_id", "vec")
+
+
+def q_l2_normalise(spark, sf):
+    v = V.l2_normalise(_vecs(spark, sf))
+    return r6(V.melt(v))
+
+
+def q_melt_embedding(spark, sf):
+    return r6(V.melt(_vecs(spark, sf)))
+
+
+def q_wide_embedding(spark, sf):
+    v = _vecs(spark, sf)
+    dim = len(v.select("vec").first()[0])
+    back = V.from_wide(V.to_wide(v, dim))
+    return r6(V.to_wide(back, dim))
+
+
+def q_embedding_meta(spark, sf):
+    return V.embedding_meta(_vecs(spark, sf), model="given", source="embeddings")
+
+
+def q_scatter_split(spark, sf):
+    v = bind.vectors(spark, sf)
+    pts = v.select("doc_id", F.col("vec")[0].cast("double").alias("x"),
+                   F.col("vec")[1].cast("double").alias("y"))
+    lab = v.select("doc_id", F.when(F.col("cluster") == 9, F.lit(-1)).otherwise(F.col("cluster"))
+                   .alias("cluster"))
+    return r6(V.scatter_split(pts, lab))
+
+
+def q_knn_exact(spark, sf):
+    return r6(Kn.knn_exact(_vecs(spark, sf), 10, "cosine"))
+
+
+def q_core_distance(spark, sf):
+    knn = Kn.knn_exact(_vecs(spark, sf), 4, "cosine")
+    return r6(Dn.core_distance(knn, 5))
+
+
+def q_mutual_reach(spark, sf):
+    knn = Kn.knn_exact(_vecs(spark, sf), 4, "cosine")
+    return r6(Dn.mutual_reach(knn, Dn.core_distance(knn, 5)))
+
+
+def _reduced(spark, sf, k=5):
+    return V.reduce_dims(_vecs(spark, sf), k)
+
+
+def q_mst_edges(spark, sf):
+    pts = _reduced(spark, sf)
+    knn = Kn.knn_exact(pts, 4, "euclidean")
+    return Dn.mst_boruvka(pts.join(Dn.core_distance(knn, 5), "doc_id"), "euclidean")
+
+
+def q_density_labels(spark, sf):
+    labels, _ = Dn.sweep(_reduced(spark, sf), SWEEP)
+    return labels
+
+
+def q_persistence_summary(spark, sf):
+    _, clusters = Dn.sweep(_reduced(spark, sf), SWEEP)
+    settings = spark.createDataFrame([(m,) for m in SWEEP], "min_cluster_size int")
+    return G.persistence_summary(clusters, settings, KEYS)
+
+
+def q_embed(spark, sf):
+    return V.embed(bind.clean_documents(spark, sf), "title_abstract", dim=768)
+
+
+def q_reduce(spark, sf):
+    return V.coords(_reduced(spark, sf, 2))
+
+
+QUERIES.update({
+    "l2_normalise": q_l2_normalise, "melt_embedding": q_melt_embedding,
+    "wide_embedding": q_wide_embedding, "embedding_meta": q_embedding_meta,
+    "scatter_split": q_scatter_split, "knn_exact": q_knn_exact, "core_distance": q_core_distance,
+    "mutual_reach": q_mutual_reach, "mst_edges": q_mst_edges, "density_labels": q_density_labels,
+    "persistence_summary": q_persistence_summary, "embed": q_embed, "reduce": q_reduce,
+})
