@@ -290,3 +290,68 @@ def datamap_data(assign: DataFrame, corpus: DataFrame, coords: DataFrame, labels
 
 def preview(info: DataFrame, n: int = 10) -> DataFrame:
     return info.orderBy("topic").limit(n)
+
+
+def topic_hierarchy(sim: DataFrame, n_groups: DataFrame | None = None, keys=()):
+    """Single-linkage hierarchy of topics on distance 1 - similarity, cut into groups.
+
+    Per setting: spanning forest by Boruvka on the topic graph (noise
+    excluded), merges by the dendrogram builder (leaf id = topic + 1); cutting
+    the k - 1 heaviest tree edges gives k groups (k from `heatmap_k`).
+    Returns (merges (keys, node, left, right, distance, size),
+             groups (keys, topic, group)).  Settings are a short parameter list.
+    """
+    from docsift.operators.density import _ckpt, dendrogram, mst_from_edges
+    keys = _k(keys)
+    # the similarity table is T^2 rows per setting: materialise it once for the loops below
+    s = _ckpt(sim.filter((F.col("topic_a") != NOISE) & (F.col("topic_b") != NOISE)
+                         & (F.col("topic_a") < F.col("topic_b"))))
+    if n_groups is not None:
+        n_groups = _ckpt(n_groups)
+    settings = [tuple(r) for r in s.select(*keys).distinct().collect()] if keys else [()]
+    all_m, all_g = [], []
+    for st in settings:
+        cond = F.lit(True)
+        for k, v in zip(keys, st):
+            cond = cond & (F.col(k) == F.lit(v))
+        e = s.filter(cond).select((F.col("topic_a") + 1).cast("long").alias("u"),
+                                  (F.col("topic_b") + 1).cast("long").alias("v"),
+                                  F.greatest(F.lit(0.0), 1 - F.col("similarity")).alias("w"))
+        forest, _ = mst_from_edges(e)
+        merges = _ckpt(dendrogram(forest))
+        k_groups = 1
+        if n_groups is not None:
+            row = n_groups.filter(cond).select("n_groups").first()
+            k_groups = int(row[0]) if row and row[0] is not None else 1
+        g = _cut_groups(merges, e, k_groups)
+        lit_keys = [F.lit(v).alias(k) for k, v in zip(keys, st)]
+        all_g.append(g.select(*lit_keys, "topic", "group"))
+        all_m.append(merges.select(*lit_keys, "node", "left", "right", F.col("w").alias("distance"), "size"))
+    m, g = all_m[0], all_g[0]
+    for x in all_m[1:]:
+        m = m.unionByName(x)
+    for x in all_g[1:]:
+        g = g.unionByName(x)
+    return m, g
+
+
+def _cut_groups(merges: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """(topic, group): leaves under the same kept merge after dropping the k - 1 last merges.
+
+    The last merges of single linkage are the heaviest spanning-tree edges,
+    so this equals cutting those edges.  Each node's highest kept ancestor is
+    found by pointer jumping; groups are numbered by that ancestor.
+    """
+    from docsift.operators.density import _jump
+    leaves = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    n_m = merges.count()
+    limit = (merges.agg(F.min("node")).first()[0] or 0) + n_m - (k - 1)
+    kids = (merges.select(F.col("left").alias("node"), F.col("node").alias("parent"))
+            .unionByName(merges.select(F.col("right").alias("node"), F.col("node").alias("parent"))))
+    allnodes = leaves.unionByName(merges.select("node")).distinct().join(kids, "node", "left")
+    done = F.col("parent").isNull() | (F.col("parent") >= limit)
+    chain = allnodes.select("node", F.when(done, F.col("node")).otherwise(F.col("parent")).alias("ptr"),
+                            done.alias("done"))
+    top = _jump(chain, "node", "ptr", "done")
+    g = top.join(leaves, "node").select((F.col("node") - 1).cast("int").alias("topic"), F.col("target"))
+    return g.withColumn("group", (F.dense_rank().over(Window.orderBy("target")) - 1).cast("int")).drop("target")
