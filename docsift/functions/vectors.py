@@ -24,9 +24,16 @@ def l2norm(a) -> Column:
 
 
 def normalise(a, eps: float = 0.0) -> Column:
-    """Unit vector a / (|a| + eps) as ARRAY<DOUBLE>; a zero vector stays zero."""
+    """Unit vector a / (|a| + eps) as ARRAY<DOUBLE>; a zero vector stays zero.
+
+    The norm is computed once per row and zipped in as a repeated array: an
+    outer expression referenced inside a lambda would be re-evaluated for
+    every element (quadratic in the dimension).
+    """
+    a = _c(a)
     n = l2norm(a) + F.lit(eps)
-    return F.transform(_c(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    inv = F.when(n > 0, 1.0 / n).otherwise(F.lit(0.0))
+    return F.zip_with(a, F.array_repeat(inv, F.size(a)), lambda x, y: x.cast("double") * y)
 
 
 def sq_dist(a, b) -> Column:

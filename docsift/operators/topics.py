@@ -355,3 +355,28 @@ def _cut_groups(merges: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     top = _jump(chain, "node", "ptr", "done")
     g = top.join(leaves, "node").select((F.col("node") - 1).cast("int").alias("topic"), F.col("target"))
     return g.withColumn("group", (F.dense_rank().over(Window.orderBy("target")) - 1).cast("int")).drop("target")
+
+
+def rerank_words(ct: DataFrame, doc_terms: DataFrame, doc_vecs: DataFrame, assign: DataFrame,
+                 candidates: int = 30, n: int = 10, keys=()) -> DataFrame:
+    """Re-rank each topic's c-TF-IDF candidates by cosine(word vector, topic vector).
+
+    word vector = mean vector of the documents holding the word; topic vector =
+    mean vector of the topic's documents.  Both are streaming vector-sum
+    aggregates (partial map-side), so a word or topic holding a third of all
+    documents is still reduced across tasks.  Output like `topic_words`.
+    """
+    from docsift.functions.vectors import dot, l2norm, vsum
+    keys = _k(keys)
+    cand = topic_words(ct, candidates, keys).select(*keys, "topic", "term")
+    vocab = cand.select("term").distinct()
+    dv = doc_terms.select("doc_id", "term").distinct().join(vocab, "term", "left_semi") \
+        .join(doc_vecs.select("doc_id", "vec"), "doc_id")
+    wv = dv.groupBy("term").agg(vsum(F.col("vec")).alias("wv"))
+    tv = (assign.select(*keys, "doc_id", "topic").join(doc_vecs.select("doc_id", "vec"), "doc_id")
+          .groupBy(*keys, "topic").agg(vsum(F.col("vec")).alias("tv")))
+    j = cand.join(wv, "term").join(tv, keys + ["topic"])
+    j = j.withColumn("score", dot(F.col("wv"), F.col("tv")) / (l2norm(F.col("wv")) * l2norm(F.col("tv"))))
+    w = Window.partitionBy(*keys, "topic").orderBy(F.col("score").desc(), F.col("term"))
+    return (j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+            .select(*keys, "topic", F.col("rank").cast("int"), "term", "score"))

@@ -436,3 +436,12 @@ FROM ed JOIN core c1 ON c1.doc_id = lo JOIN core c2 ON c2.doc_id = hi""",
 ORACLE["wide_embedding"] = f"""PIVOT (SELECT doc_id, 'd' || CAST(dim AS VARCHAR) AS col, round(x, 6) AS value
        FROM (SELECT doc_id, unnest(v) AS x, unnest(range(len(v))) AS dim FROM ({_EMB})))
 ON col USING first(value) GROUP BY doc_id"""
+
+ORACLE.update({
+    "preview": f"WITH {TOPIC} SELECT * FROM info ORDER BY min_cluster_size, topic LIMIT 10",
+    "numeric_labels": f"WITH {TOPIC} SELECT DISTINCT min_cluster_size, topic, CAST(topic AS VARCHAR) AS label FROM assign",
+})
+ORACLE["eval_summary"] = (
+    "WITH sm AS (" + ORACLE["size_metrics"] + "), pc AS (" + ORACLE["pac"] + "), ch AS ("
+    + ORACLE["coherence_summary"] + ") SELECT * FROM sm LEFT JOIN pc USING (min_cluster_size) "
+    "LEFT JOIN ch USING (min_cluster_size)")

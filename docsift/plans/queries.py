@@ -365,3 +365,84 @@ QUERIES.update({
     "mutual_reach": q_mutual_reach, "mst_edges": q_mst_edges, "density_labels": q_density_labels,
     "persistence_summary": q_persistence_summary, "embed": q_embed, "reduce": q_reduce,
 })
+
+
+# --- remaining topic / evaluation operators ----------------------------------------------
+from docsift.operators import validity as Va  # noqa: E402
+
+
+def q_topic_hierarchy(spark, sf):
+    _, assign, _, ct, _ = _topic_model(spark, sf)
+    _, groups = T.topic_hierarchy(T.topic_similarity(ct, KEYS), T.heatmap_k(assign, keys=KEYS), KEYS)
+    return groups
+
+
+def q_dbcv(spark, sf):
+    lab, vec = _vec(spark, sf)
+    return r6(Va.dbcv(lab, vec, metric="cosine"))
+
+
+def q_fuzzy_graph(spark, sf):
+    return r6(V.fuzzy_graph(Kn.knn_exact(_vecs(spark, sf), 15, "cosine")))
+
+
+def _doc_vectors(spark, sf, clean):
+    return V.embed(clean, "title_abstract", dim=768)
+
+
+def q_rerank_words(spark, sf):
+    clean, assign, dtf, ct, _ = _topic_model(spark, sf)
+    return r6(T.rerank_words(ct, dtf, _doc_vectors(spark, sf, clean), assign, 30, 10, KEYS))
+
+
+def _doc_coords(spark, sf, clean):
+    return V.coords(V.reduce_dims(_doc_vectors(spark, sf, clean), 2))
+
+
+def q_document_map(spark, sf):
+    clean, assign, *_ = _topic_model(spark, sf)
+    return r6(T.document_map(assign, clean, _doc_coords(spark, sf, clean), KEYS))
+
+
+def q_datamap(spark, sf):
+    clean, assign, _, _, words = _topic_model(spark, sf)
+    labels = T.numeric_labels(assign, KEYS)
+    return r6(T.datamap_data(assign, clean, _doc_coords(spark, sf, clean), labels, 17, KEYS))
+
+
+def q_preview(spark, sf):
+    _, assign, _, _, words = _topic_model(spark, sf)
+    return T.topic_info(assign, words, KEYS).orderBy(*KEYS, "topic").limit(10)
+
+
+def q_numeric_labels(spark, sf):
+    return T.numeric_labels(_topic_model(spark, sf)[1], KEYS)
+
+
+def q_eval_summary(spark, sf):
+    """Per-setting summary: size metrics, consensus PAC and coherence joined on the setting."""
+    clean = bind.clean_documents(spark, sf)
+    sizes = G.size_metrics(bind.labels_by_setting(clean), KEYS)
+    rl = _runs(spark, sf)
+    p = G.pac(G.consensus_histogram(rl, KEYS, runs=8), rl, KEYS)
+    _, assign, words, toks, _, _ = _coh(spark, sf)
+    coh = H.coherence_summary(H.npmi_umass(toks, words, 10, KEYS), assign, KEYS)
+    return r6(sizes.join(p, KEYS, "left").join(coh, KEYS, "left"))
+
+
+def q_fit_topics(spark, sf):
+    """End to end: documents -> vectors -> 5-d projection -> density sweep -> topics."""
+    clean = bind.clean_documents(spark, sf)
+    vecs = V.reduce_dims(_doc_vectors(spark, sf, clean), 5)
+    labels, _ = Dn.sweep(vecs, SWEEP)
+    assign = T.topic_ids(labels, KEYS)
+    words = T.topic_words(T.ctfidf(assign, _dtf(clean), KEYS), 10, KEYS)
+    return T.topic_info(assign, words, KEYS)
+
+
+QUERIES.update({
+    "topic_hierarchy": q_topic_hierarchy, "dbcv": q_dbcv, "fuzzy_graph": q_fuzzy_graph,
+    "rerank_words": q_rerank_words, "document_map": q_document_map, "datamap": q_datamap,
+    "preview": q_preview, "numeric_labels": q_numeric_labels, "eval_summary": q_eval_summary,
+    "fit_topics": q_fit_topics,
+})
