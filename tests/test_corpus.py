@@ -29,3 +29,24 @@ def test_missing_columns(spark):
 def test_missing_file(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         read_corpus_csv(spark, "/nonexistent/docsift.csv").count()
+
+
+def test_stream_word_counts_match_batch(spark):
+    import os
+    import tempfile
+    from docsift.streaming.ingest import start_word_counts
+    from docsift.plans import queries as Q
+    out = tempfile.mkdtemp(prefix="docsift-stream-")
+    src = "/root/testdata/sf0.001"
+    # stream only the documents file: point the source at a folder with it
+    folder = tempfile.mkdtemp(prefix="docsift-src-")
+    os.symlink(os.path.join(src, "documents.parquet"), os.path.join(folder, "documents.parquet"))
+    q1, q2 = start_word_counts(spark, folder, os.path.join(out, "rows"), name="t_wc")
+    q1.processAllAvailable()
+    q2.processAllAvailable()
+    tot = spark.sql("SELECT * FROM t_wc_totals").first()
+    q1.stop()
+    q2.stop()
+    batch = [r for r in Q.q_word_counts(spark, src).collect() if r.Title == "__TOTAL__"][0]
+    assert (tot.Words_Before, tot.Words_After) == (batch.Words_Before, batch.Words_After)
+    assert spark.read.parquet(os.path.join(out, "rows")).count() == tot.n_docs
