@@ -446,3 +446,13 @@ QUERIES.update({
     "preview": q_preview, "numeric_labels": q_numeric_labels, "eval_summary": q_eval_summary,
     "fit_topics": q_fit_topics,
 })
+
+
+def q_bootstrap_pac(spark, sf):
+    """Bootstrap draws re-clustered at every setting (runs and settings as group keys), then PAC."""
+    bl = Dn.bootstrap_labels(_reduced(spark, sf), SWEEP, runs=8)
+    bl = Dn._ckpt(bl)
+    return r6(G.pac(G.consensus_histogram(bl, KEYS, runs=8), bl, KEYS))
+
+
+QUERIES["bootstrap_pac"] = q_bootstrap_pac
