@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.functions.text import collapse_ws, join_text, py_strip
@@ -38,12 +38,12 @@ def normalise_whitespace(df: DataFrame, cols=("title", "abstract")) -> DataFrame
 def dedupe_exact(df: DataFrame, keys=("title", "abstract"), order: str = "doc_id") -> DataFrame:
     """Keep the first row (lowest `order`) of each exact (title, abstract) repeat.
 
-    A window over the key columns is deterministic, unlike `dropDuplicates`.
-    The shuffle is on a hash of the two texts, so a hot repeated text lands in
-    one task but is reduced there by the window group limit.
+    The first key per text is a `min` aggregate (combined map-side, so a text
+    repeated in a third of all rows is reduced before the shuffle, never
+    sorted in one task); rows are then kept by a semi join on that key.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    return (df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn"))
+    first = df.groupBy(*keys).agg(F.min(order).alias(order)).select(order)
+    return df.join(first, order, "left_semi")
 
 
 def drop_noise(df: DataFrame, label: str = "cluster") -> DataFrame:
