@@ -84,11 +84,13 @@ def word_counts(clean: DataFrame, text: str = "title_abstract", stopwords=STOPWO
     before = 0.  The total row sums the counts and derives its percentage from
     the sums; its DocIndex is NULL.
     """
-    pre = tokens_prefilter(text)
-    per_doc = clean.select(
-        F.col("doc_id").alias("DocIndex"), F.col("title").alias("Title"),
-        F.size(pre).cast("long").alias("Words_Before"),
-        F.size(F.filter(pre, lambda t: ~t.isin(list(stopwords)))).cast("long").alias("Words_After"))
+    # the token array is projected once (an expensive alias referenced twice is not
+    # inlined by the optimizer), then both sizes read it
+    toks = clean.select(F.col("doc_id").alias("DocIndex"), F.col("title").alias("Title"),
+                        tokens_prefilter(text).alias("_pre"))
+    per_doc = toks.select(
+        "DocIndex", "Title", F.size("_pre").cast("long").alias("Words_Before"),
+        F.size(F.filter("_pre", lambda t: ~t.isin(list(stopwords)))).cast("long").alias("Words_After"))
     per_doc = per_doc.withColumn("Pct_Removed", _pct_removed(F.col("Words_Before"),
                                                              F.col("Words_After")))
     if not with_total:
