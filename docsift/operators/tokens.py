@@ -91,16 +91,20 @@ def word_counts(clean: DataFrame, text: str = "title_abstract", stopwords=STOPWO
     per_doc = toks.select(
         "DocIndex", "Title", F.size("_pre").cast("long").alias("Words_Before"),
         F.size(F.filter("_pre", lambda t: ~t.isin(list(stopwords)))).cast("long").alias("Words_After"))
-    per_doc = per_doc.withColumn("Pct_Removed", _pct_removed(F.col("Words_Before"),
-                                                             F.col("Words_After")))
     if not with_total:
-        return per_doc
-    tot = per_doc.agg(F.coalesce(F.sum("Words_Before"), F.lit(0)).cast("long").alias("Words_Before"),
-                      F.coalesce(F.sum("Words_After"), F.lit(0)).cast("long").alias("Words_After"))
-    tot = tot.select(F.lit(None).cast("long").alias("DocIndex"),
-                     F.lit(TOTAL_TITLE).alias("Title"), "Words_Before", "Words_After",
-                     _pct_removed(F.col("Words_Before"), F.col("Words_After")).alias("Pct_Removed"))
-    return per_doc.unionByName(tot)
+        return per_doc.withColumn("Pct_Removed", _pct_removed(F.col("Words_Before"),
+                                                              F.col("Words_After")))
+    # per-document rows and the grand total in one pass over the text: grouping sets
+    # ((DocIndex, Title), ()) instead of a union that would tokenise everything twice
+    g = per_doc.groupingSets([["DocIndex", "Title"], []], "DocIndex", "Title").agg(
+        F.sum("Words_Before").alias("Words_Before"), F.sum("Words_After").alias("Words_After"),
+        F.grouping_id().alias("_gid"))
+    total = F.col("_gid") > 0
+    out = g.select(F.when(total, F.lit(None)).otherwise(F.col("DocIndex")).cast("long").alias("DocIndex"),
+                   F.when(total, F.lit(TOTAL_TITLE)).otherwise(F.col("Title")).alias("Title"),
+                   F.coalesce("Words_Before", F.lit(0)).cast("long").alias("Words_Before"),
+                   F.coalesce("Words_After", F.lit(0)).cast("long").alias("Words_After"))
+    return out.withColumn("Pct_Removed", _pct_removed(F.col("Words_Before"), F.col("Words_After")))
 
 
 def default_subword_count(tokens) -> "F.Column":
