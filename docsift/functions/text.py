@@ -89,10 +89,17 @@ def join_text(a, b) -> Column:
                              F.coalesce(col_of(b), F.lit(""))))
 
 
+# An alphanumeric run holding at least one letter.  Greedy from the start of a
+# run, it matches the whole run when the run has a letter and nothing inside a
+# digits-only run, so it yields exactly "runs of [A-Za-z0-9], pure digits dropped"
+# in one regex pass (no per-token test).
+ALNUM_WITH_LETTER = "[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*"
+
+
 def tokens_prefilter(c) -> Column:
     """Alphanumeric runs, pure digit tokens dropped, lower-cased (order kept)."""
-    raw = F.regexp_extract_all(F.coalesce(col_of(c), F.lit("")), F.lit(ALNUM_PATTERN), 0)
-    return F.transform(F.filter(raw, lambda t: ~t.rlike("^[0-9]+$")), lambda t: F.lower(t))
+    raw = F.regexp_extract_all(F.coalesce(col_of(c), F.lit("")), F.lit(ALNUM_WITH_LETTER), 0)
+    return F.transform(raw, lambda t: F.lower(t))
 
 
 def drop_stopwords(tokens, stopwords=STOPWORD_SET) -> Column:

@@ -64,3 +64,15 @@ def test_blank_and_null_abstracts_dropped(spark):
 def test_doc_without_tokens_padded(spark):
     r = C.top_words(_clean(spark, [(5, "", "2024 1999")]), 10).first()
     assert r.Word_1 == "" and r.Count_1 == 0
+
+
+def test_prefilter_equals_definition_on_corpus(spark):
+    import re
+    from docsift.plans import bindings as bind
+    clean = bind.clean_documents(spark, "/root/testdata/sf0.001")
+    rows = clean.select("title_abstract", tokens_prefilter("title_abstract").alias("t")).collect()
+    for r in rows:
+        want = [t.lower() for t in re.findall(r"[A-Za-z0-9]+", r.title_abstract) if not t.isdigit()]
+        assert r.t == want
+    edge = spark.createDataFrame([("2024abc 12 x9 99b 007 a1b2",)], "s string")
+    assert edge.select(tokens_prefilter("s")).first()[0] == ["2024abc", "x9", "99b", "a1b2"]
