@@ -76,3 +76,23 @@ def test_prefilter_equals_definition_on_corpus(spark):
         assert r.t == want
     edge = spark.createDataFrame([("2024abc 12 x9 99b 007 a1b2",)], "s string")
     assert edge.select(tokens_prefilter("s")).first()[0] == ["2024abc", "x9", "99b", "a1b2"]
+
+
+def test_prefilter_linear_on_long_digit_runs(spark):
+    import time
+    s = "7" * 200_000 + " ab " + "9" * 100_000 + "x"
+    df = spark.createDataFrame([(s,)], "s string")
+    t = time.time()
+    got = df.select(tokens_prefilter("s")).first()[0]
+    assert got == ["ab", "9" * 100_000 + "x"]
+    assert time.time() - t < 30
+
+
+def test_strip_unicode_and_linear(spark):
+    import time
+    from docsift.functions.text import py_strip
+    s = " \t a" + " " * 200_000 + "b 　\n"
+    df = spark.createDataFrame([(s,)], "s string")
+    t = time.time()
+    assert df.select(py_strip("s")).first()[0] == "a" + " " * 200_000 + "b"
+    assert time.time() - t < 30
