@@ -241,22 +241,64 @@ def barchart_data(words: DataFrame, n_topics: int = 8, n_words: int = 5, keys=()
                         & (F.col("rank") <= n_words)).select(*keys, "topic", "rank", "term", "score")
 
 
-def topic_similarity(ct: DataFrame, keys=()) -> DataFrame:
+def topic_similarity(ct: DataFrame, keys=(), block_topics: int = 256) -> DataFrame:
     """Cosine similarity between topics' c-TF-IDF vectors, long form (topic_a, topic_b, similarity).
 
-    Sparse product through a join on the term: the rows a term contributes
-    are bounded by (topics holding it)^2, i.e. by the model size, never by the
-    number of documents; the partial aggregate right after the join keeps
-    the shuffle at one row per topic pair per task.  Both orders and the
-    diagonal are emitted (a full matrix, as a heatmap needs).
+    Topics of a setting are hashed into blocks of about `block_topics`; each
+    block pair (i <= j) is one `applyInPandas` task that receives the c-TF-IDF
+    entries of both blocks and forms the sparse product with one NumPy matrix
+    multiply over the union of their terms.  No row per (term, topic pair) is
+    ever emitted, and a task holds two blocks of topics.  Pairs sharing at
+    least one term are returned, both orders and the diagonal (a full matrix,
+    as a heatmap needs).
     """
+    import numpy as np
+    import pandas as pd
     keys = _k(keys)
     v = ct.select(*keys, "topic", "term", "weight")
     norm = v.groupBy(*keys, "topic").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("_n"))
-    a = v.withColumnRenamed("topic", "topic_a").withColumnRenamed("weight", "wa")
-    b = v.withColumnRenamed("topic", "topic_b").withColumnRenamed("weight", "wb")
-    dot = (a.join(b, keys + ["term"]).groupBy(*keys, "topic_a", "topic_b")
-           .agg(F.sum(F.col("wa") * F.col("wb")).alias("_dot")))
+    nt = ct.select(*keys, "topic").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_t"))
+    nt = nt.withColumn("_b", F.greatest(F.lit(1), F.ceil(F.col("_t") / block_topics)).cast("int"))
+    pairs = (nt.select(*keys, "_b", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("bi"))
+             .select(*keys, "bi", F.explode(F.sequence(F.col("bi"), F.col("_b") - 1)).alias("bj")))
+    e = (v.join(nt.select(*keys, "_b"), keys) if keys else
+         v.withColumn("_g", F.lit(0)).join(nt.withColumn("_g", F.lit(0)).select("_g", "_b"), "_g").drop("_g"))
+    e = e.withColumn("blk", F.pmod(F.xxhash64("topic"), F.col("_b")).cast("int")).drop("_b")
+    pk = pairs.withColumnRenamed("bi", "p_bi").withColumnRenamed("bj", "p_bj")
+    cond_l = [e[k] == pk[k] for k in keys] + [e["blk"] == pk["p_bi"]]
+    cond_r = [e[k] == pk[k] for k in keys] + [e["blk"] == pk["p_bj"], pk["p_bi"] < pk["p_bj"]]
+    sel = [e[k] for k in keys] + [e["topic"], e["term"], e["weight"], pk["p_bi"].alias("bi"),
+                                  pk["p_bj"].alias("bj")]
+    rows = (e.join(pk, cond_l).select(*sel).withColumn("side", F.lit(0))
+            .unionByName(e.join(pk, cond_r).select(*sel).withColumn("side", F.lit(1))))
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = pdf[pdf["side"] == 0]
+        b = pdf[pdf["side"] == 1]
+        diag = len(b) == 0
+        if diag:
+            b = a
+        terms = np.unique(np.concatenate([a["term"].to_numpy(), b["term"].to_numpy()]))
+        ta, ia = np.unique(a["topic"].to_numpy(), return_inverse=True)
+        tb, ib = np.unique(b["topic"].to_numpy(), return_inverse=True)
+        ma = np.zeros((len(ta), len(terms)))
+        mb = np.zeros((len(tb), len(terms)))
+        np.add.at(ma, (ia, np.searchsorted(terms, a["term"].to_numpy())), a["weight"].to_numpy())
+        np.add.at(mb, (ib, np.searchsorted(terms, b["term"].to_numpy())), b["weight"].to_numpy())
+        d = ma @ mb.T
+        share = (ma > 0).astype(np.float64) @ (mb > 0).astype(np.float64).T > 0
+        i, j = np.nonzero(share)
+        out = pd.DataFrame({"topic_a": ta[i], "topic_b": tb[j], "_dot": d[i, j]})
+        if not diag:
+            out = pd.concat([out, pd.DataFrame({"topic_a": tb[j], "topic_b": ta[i], "_dot": d[i, j]})],
+                            ignore_index=True)
+        for k in keys:
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    key_types = dict(ct.dtypes)
+    schema = ", ".join([f"{k} {key_types[k]}" for k in keys] + ["topic_a int", "topic_b int", "_dot double"])
+    dot = rows.groupBy(*keys, "bi", "bj").applyInPandas(kernel, schema)
     na = norm.withColumnRenamed("topic", "topic_a").withColumnRenamed("_n", "_na")
     nb = norm.withColumnRenamed("topic", "topic_b").withColumnRenamed("_n", "_nb")
     return (dot.join(na, keys + ["topic_a"]).join(nb, keys + ["topic_b"])

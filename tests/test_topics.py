@@ -48,3 +48,17 @@ def test_topic_diff_and_labels(spark):
     new = spark.createDataFrame([(0, "a")], "topic int, label string")
     ch = T.label_changes(old, new).collect()
     assert [(c.topic, c.old_label, c.new_label) for c in ch] == [(1, "b", "")]
+
+
+def test_topic_similarity_blocks_agree(spark):
+    from docsift.plans import queries as Q
+    _, assign, _, ct, _ = Q._topic_model(spark, "/root/testdata/sf0.001")
+    one = {(r.min_cluster_size, r.topic_a, r.topic_b): r.similarity
+           for r in T.topic_similarity(ct, Q.KEYS).collect()}
+    many = {(r.min_cluster_size, r.topic_a, r.topic_b): r.similarity
+            for r in T.topic_similarity(ct, Q.KEYS, block_topics=3).collect()}
+    assert one.keys() == many.keys()
+    for k, v in one.items():
+        assert many[k] == pytest.approx(v, abs=1e-12)
+    diag = [v for (s, a, b), v in one.items() if a == b]
+    assert all(abs(v - 1) < 1e-9 for v in diag)
