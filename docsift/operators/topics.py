@@ -241,14 +241,16 @@ def barchart_data(words: DataFrame, n_topics: int = 8, n_words: int = 5, keys=()
                         & (F.col("rank") <= n_words)).select(*keys, "topic", "rank", "term", "score")
 
 
-def topic_similarity(ct: DataFrame, keys=(), block_topics: int = 256) -> DataFrame:
+def topic_similarity(ct: DataFrame, keys=(), block_topics: int = 256,
+                     chunk_terms: int = 65536) -> DataFrame:
     """Cosine similarity between topics' c-TF-IDF vectors, long form (topic_a, topic_b, similarity).
 
     Topics of a setting are hashed into blocks of about `block_topics`; each
     block pair (i <= j) is one `applyInPandas` task that receives the c-TF-IDF
     entries of both blocks and forms the sparse product with one NumPy matrix
-    multiply over the union of their terms.  No row per (term, topic pair) is
-    ever emitted, and a task holds two blocks of topics.  Pairs sharing at
+    multiply over the union of their terms, in slices of `chunk_terms` terms
+    (memory per task <= 2 * block_topics * chunk_terms doubles).  No row per
+    (term, topic pair) is ever emitted.  Pairs sharing at
     least one term are returned, both orders and the diagonal (a full matrix,
     as a heatmap needs).
     """
@@ -281,13 +283,24 @@ def topic_similarity(ct: DataFrame, keys=(), block_topics: int = 256) -> DataFra
         terms = np.unique(np.concatenate([a["term"].to_numpy(), b["term"].to_numpy()]))
         ta, ia = np.unique(a["topic"].to_numpy(), return_inverse=True)
         tb, ib = np.unique(b["topic"].to_numpy(), return_inverse=True)
-        ma = np.zeros((len(ta), len(terms)))
-        mb = np.zeros((len(tb), len(terms)))
-        np.add.at(ma, (ia, np.searchsorted(terms, a["term"].to_numpy())), a["weight"].to_numpy())
-        np.add.at(mb, (ib, np.searchsorted(terms, b["term"].to_numpy())), b["weight"].to_numpy())
-        d = ma @ mb.T
-        share = (ma > 0).astype(np.float64) @ (mb > 0).astype(np.float64).T > 0
-        i, j = np.nonzero(share)
+        ka = np.searchsorted(terms, a["term"].to_numpy())
+        kb = np.searchsorted(terms, b["term"].to_numpy())
+        wa, wb = a["weight"].to_numpy(), b["weight"].to_numpy()
+        d = np.zeros((len(ta), len(tb)))
+        share = np.zeros((len(ta), len(tb)))
+        # dense slices of at most `chunk_terms` terms keep a task's memory bounded
+        for lo in range(0, len(terms), chunk_terms):
+            hi = lo + chunk_terms
+            sa, sb = (ka >= lo) & (ka < hi), (kb >= lo) & (kb < hi)
+            if not sa.any() or not sb.any():
+                continue
+            ma = np.zeros((len(ta), min(hi, len(terms)) - lo))
+            mb = np.zeros((len(tb), ma.shape[1]))
+            np.add.at(ma, (ia[sa], ka[sa] - lo), wa[sa])
+            np.add.at(mb, (ib[sb], kb[sb] - lo), wb[sb])
+            d += ma @ mb.T
+            share += (ma > 0).astype(np.float64) @ (mb > 0).astype(np.float64).T
+        i, j = np.nonzero(share > 0)
         out = pd.DataFrame({"topic_a": ta[i], "topic_b": tb[j], "_dot": d[i, j]})
         if not diag:
             out = pd.concat([out, pd.DataFrame({"topic_a": tb[j], "topic_b": ta[i], "_dot": d[i, j]})],

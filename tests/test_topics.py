@@ -62,3 +62,15 @@ def test_topic_similarity_blocks_agree(spark):
         assert many[k] == pytest.approx(v, abs=1e-12)
     diag = [v for (s, a, b), v in one.items() if a == b]
     assert all(abs(v - 1) < 1e-9 for v in diag)
+
+
+def test_topic_similarity_term_chunks_agree(spark):
+    from docsift.plans import queries as Q
+    _, _, _, ct, _ = Q._topic_model(spark, "/root/testdata/sf0.001")
+    one = {(r.min_cluster_size, r.topic_a, r.topic_b): r.similarity
+           for r in T.topic_similarity(ct, Q.KEYS).collect()}
+    small = {(r.min_cluster_size, r.topic_a, r.topic_b): r.similarity
+             for r in T.topic_similarity(ct, Q.KEYS, block_topics=4, chunk_terms=50).collect()}
+    assert one.keys() == small.keys()
+    for k, v in one.items():
+        assert small[k] == pytest.approx(v, abs=1e-12)
