@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsift.functions.text import NA_STRINGS, col_of
@@ -34,16 +34,23 @@ def null_if_na(c, na_strings=NA_STRINGS):
 
 
 def with_doc_id(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Attach a stable row key in file order (before any filter).
+    """Attach a contiguous row key in scan order (before any filter), JVM-side.
 
-    `zipWithIndex` runs one extra job to count rows per partition but keeps
-    the key contiguous and the same for any partitioning of the same files.
+    Row position inside a partition comes from `monotonically_increasing_id`
+    (low 33 bits), the partition's offset from a per-partition count: one row
+    per input split, so the broadcast offsets table is bounded by the number
+    of splits.  Same files and splits give the same keys.
     """
     if key in df.columns:
         return df
-    schema = df.schema.add(key, "long", False)
-    rdd = df.rdd.zipWithIndex().map(lambda rv: tuple(rv[0]) + (rv[1],))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.withColumn(
+        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+                           F.lit(0)))
+    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return (tagged.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
+            .withColumn(key, (F.col("_off") + pos).cast("long")).drop("_pid", "_mid", "_off"))
 
 
 def read_corpus_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",

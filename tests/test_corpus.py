@@ -50,3 +50,11 @@ def test_stream_word_counts_match_batch(spark):
     batch = [r for r in Q.q_word_counts(spark, src).collect() if r.Title == "__TOTAL__"][0]
     assert (tot.Words_Before, tot.Words_After) == (batch.Words_Before, batch.Words_After)
     assert spark.read.parquet(os.path.join(out, "rows")).count() == tot.n_docs
+
+
+def test_row_key_contiguous_in_scan_order(spark):
+    from docsift.sources.corpus import with_doc_id
+    df = spark.range(0, 1000, numPartitions=7).withColumnRenamed("id", "v")
+    got = with_doc_id(df).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1000))
+    assert all(r.doc_id == r.v for r in got)

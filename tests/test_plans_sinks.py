@@ -38,3 +38,14 @@ def test_per_setting_layout_and_model_bundle(spark):
     sinks.save_topic_model(os.path.join(base, "model"), assignments=df)
     got = sinks.load_topic_model(spark, os.path.join(base, "model"))
     assert set(got) == {"assignments"} and got["assignments"].count() == 2
+
+
+def test_nan_to_num_and_sample(spark):
+    from docsift.operators import vectors as V
+    df = spark.createDataFrame([(0, [float("nan"), float("inf"), -float("inf"), 1.5])], "doc_id long, vec array<double>")
+    got = V.nan_to_num(df).first().vec
+    assert got[0] == 0.0 and got[1] > 1e300 and got[2] < -1e300 and got[3] == 1.5
+    rows = spark.range(100).withColumnRenamed("id", "doc_id")
+    a = [r.doc_id for r in V.sample_rows(rows, 10, seed=7).collect()]
+    b = [r.doc_id for r in V.sample_rows(rows.repartition(5), 10, seed=7).collect()]
+    assert len(a) == 10 and sorted(a) == sorted(b)
