@@ -49,3 +49,18 @@ def test_nan_to_num_and_sample(spark):
     a = [r.doc_id for r in V.sample_rows(rows, 10, seed=7).collect()]
     b = [r.doc_id for r in V.sample_rows(rows.repartition(5), 10, seed=7).collect()]
     assert len(a) == 10 and sorted(a) == sorted(b)
+
+
+def test_alignment_report_and_binned_melt(spark):
+    import pytest
+    from docsift.operators import corpus as B
+    from docsift.operators import vectors as V
+    docs = spark.createDataFrame([(0,), (1,), (2,)], "doc_id long")
+    vecs = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0]), (5, [0.0, 0.0])], "vec_id long, vec array<double>")
+    rep = {(r.key, r.side) for r in B.alignment_report(docs, vecs).collect()}
+    assert rep == {(0, "doc_only"), (5, "vector_only")}
+    with pytest.raises(ValueError):
+        B.check_aligned(docs, vecs)
+    m = {(r.row_bin, r.dim): r.value
+         for r in V.melt_binned(vecs.withColumnRenamed("vec_id", "doc_id"), 2).collect()}
+    assert m[(0, 0)] == 1.0 and m[(1, 1)] == 2.0
