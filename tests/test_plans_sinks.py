@@ -63,4 +63,4 @@ def test_alignment_report_and_binned_melt(spark):
         B.check_aligned(docs, vecs)
     m = {(r.row_bin, r.dim): r.value
          for r in V.melt_binned(vecs.withColumnRenamed("vec_id", "doc_id"), 2).collect()}
-    assert m[(0, 0)] == 1.0 and m[(1, 1)] == 2.0
+    assert m[(0, 0)] == 1.0 and m[(1, 1)] == 4.0 and m[(2, 0)] == 0.0
