@@ -68,3 +68,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/tables/t{next(_TABLES):06d}-{uuid.uuid4().hex[:8]}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make `docsift` importable in Python workers (pandas UDF / applyInPandas kernels).
+
+    Zips the installed package once per application and registers it with
+    `addPyFile`, which copies it to every executor.
+    """
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="docsift-pkg-"), "docsift.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(out)
+    _SHIPPED.add(app)
