@@ -6,11 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.llm.decontam import contamination
+from docsift.llm.importance import importance_resample
+from docsift.llm.line_dedup import line_duplicates
+from docsift.llm.ngram_join import ngram_components
 from docsift.llm.packing import pack
+from docsift.llm.pii import PATTERNS, pseudonymise
 from docsift.llm.quality_rules import quality_rules
 from docsift.llm.substring_dedup import substring_dedup
 from docsift.llm.suffix_dedup import suffix_dedup
 from docsift.llm.tables import read
+from docsift.llm.token_counts import edit_counts
+
+
+#: Key of the registered query only; callers of `pseudonymise` bring their own.
+PSEUDONYM_KEY = "docsift-example-key"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -23,6 +32,14 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(read(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -39,13 +56,39 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "base_failed", "kept", "rule")
 
 
+def op7_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts(read(spark, sf_dir, "documents"), tokenizer_path()).drop("sums")
+
+
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(read(spark, sf_dir, "documents"), PSEUDONYM_KEY).select(
+        "doc_id", "text", *(f"n_{kind}" for kind in PATTERNS))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op4_best_fit_packing, op5_decontamination,
-                                   op6_quality_rules, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_suffix_array_dedup, op2_line_dedup, op3_ngram_jaccard_join, op4_best_fit_packing, op5_decontamination,
+    op6_quality_rules, op7_edit_aware_counts, op8_importance_resampling, op9_pseudonyms, op10_substring_dedup)}
+
+_JACCARD = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS g FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS o FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.o = e.x),
+c AS (SELECT doc_id, min(o) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)
+"""
 
 _BYTES = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
@@ -89,4 +132,4 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN s USING (doc_id)
 """
 
-ORACLE = {"op1_suffix_array_dedup": _BYTES, "op5_decontamination": _DECONTAM, "op10_substring_dedup": _WORDS}
+ORACLE = {"op1_suffix_array_dedup": _BYTES, "op3_ngram_jaccard_join": _JACCARD, "op5_decontamination": _DECONTAM, "op10_substring_dedup": _WORDS}
