@@ -151,8 +151,33 @@ def _weak(weak, doc, e, n, h, band, seed):
     return out
 
 
+def parities(doc: np.ndarray, e: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Parity sketch of each set: bit c tells whether cell c holds an odd number of elements.
+
+    Cells are a power of two, 64 or more and at least the set's size.  Sketches
+    of two sets differ in at most as many bits as the sets in elements.
+    """
+    bound, out = np.r_[0, np.cumsum(n)], []
+    for a, z in zip(bound[:-1].tolist(), bound[1:].tolist()):
+        cells = max(64, 1 << (z - a - 1).bit_length()) if z > a else 64
+        odd = np.bincount((e[a:z] & U64(cells - 1)).astype(np.int64), minlength=cells) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Lower bound of the symmetric difference from two sketches; the longer is folded."""
+    if len(a) > len(b):
+        a, b = b, a
+    x, y, bits = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(b)
+    while bits > 8 * len(a):
+        bits //= 2
+        y = (y >> bits) ^ (y & ((1 << bits) - 1))
+    return (x ^ y).bit_count()
+
+
 def classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, set_id) of every document; set_id 0: no shingles."""
+    """(doc_id, n_shingles, set_id, sketch) of every document; set_id 0: no shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,34 +186,68 @@ def classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 doc, e, n = shingle_sets(raw, off, i, j, k)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)),
-                     pa.array(set_hashes(doc, e, n).view(np.int64))], names=["doc_id", "n_shingles", "set_id"])
+                     pa.array(set_hashes(doc, e, n).view(np.int64)), pa.array(parities(doc, e, n), pa.binary())],
+                    names=["doc_id", "n_shingles", "set_id", "sketch"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, sketch binary")
+
+
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of set_ids, as the documents (a, b) that stand for them, whose sketches allow a link.
+
+    sets: (set_id, rep, n, sketch).  No pair with J >= 3/4 is left out.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, n, m = (b.column(c).to_pylist() for c in ("sx", "sy", "nx", "ny"))
+            ok = pa.array([7 * least_difference(p, q) <= i + j for p, q, i, j in zip(x, y, n, m)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("x", "y")], names=["x", "y"])
+
+    for side, s in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(sets.select(F.col("set_id").alias(side), F.col("rep").alias(s),
+                                       F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}")), side)
+    return pairs.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(run, "x long, y long").select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long")
 
+SET = np.dtype([("set_id", "<i8"), ("n", "<i4"), ("info", "<i4"), ("entries", "<i4")])
 
-def index(docs: DataFrame, buckets: int, k: int = SHINGLE) -> DataFrame:
-    """Rows (bucket, sets, signatures): the entries of a map task by bucket.
 
-    sets: (set_id, size, band << 16 | spare + 1, entries) as four int64 a set;
-    sigs: the sets' signatures one after another.  Equal sets of a task are
-    indexed once.
+def bucket_keys(spark, parts: int) -> np.ndarray:
+    """One key for each of `parts` hash partitions, so that buckets are dealt out evenly."""
+    rows = (spark.range(64 * parts).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("p"))
+            .groupBy("p").agg(F.min("id").alias("id")).collect())            # parts rows
+    keys = {r.p: r.id for r in rows}
+    return np.array([keys.get(p, 64 * parts + p) for p in range(parts)], np.int64)
+
+
+def index(docs: DataFrame, keys: np.ndarray, k: int = SHINGLE) -> DataFrame:
+    """Rows (bucket, sets, sigs): the entries of a map task by bucket.
+
+    sets: set_id, size, band << 16 | spare + 1 and number of entries of each set;
+    sigs: the sets' signatures (48 bits each; the bucket stands for more) one
+    after another.  Equal sets of a task are indexed once.
     """
+    buckets = len(keys)
 
     def flush(held):
         sid, n, sig, info = (np.concatenate(c) for c in zip(*held))
-        bucket = (sig % U64(buckets)).astype(np.int64)
+        low = 16 if buckets <= 1 << 16 else 32
+        bucket = (((sig & U64((1 << low) - 1)) * U64(buckets)) >> U64(low)).astype(np.int64)
         order = np.lexsort((info, sid, bucket))
         sid, n, sig, info, bucket = (c[order] for c in (sid, n, sig, info, bucket))
         new = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (sid[1:] != sid[:-1]) | (info[1:] != info[:-1])])
-        count = np.diff(np.r_[new, len(sid)])
-        sets = np.c_[sid[new].view(np.int64), n[new], info[new], count]
+        sets = np.empty(len(new), SET)
+        sets["set_id"], sets["n"], sets["info"] = sid[new].view(np.int64), n[new], info[new]
+        sets["entries"] = np.diff(np.r_[new, len(sid)])
+        six = np.ascontiguousarray(sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
         cut = np.flatnonzero(np.r_[True, np.diff(bucket[new]) != 0])
-        rows_s = np.r_[cut, len(new)]
-        rows_e = np.r_[new[cut], len(sid)]
+        rows_s = np.r_[cut, len(new)].tolist()
+        rows_e = np.r_[new[cut], len(sid)].tolist()
         return pa.RecordBatch.from_arrays([
-            pa.array(bucket[new[cut]], pa.int64()),
-            pa.array([sets[a:z].tobytes() for a, z in zip(rows_s[:-1].tolist(), rows_s[1:].tolist())], pa.binary()),
-            pa.array([sig[a:z].tobytes() for a, z in zip(rows_e[:-1].tolist(), rows_e[1:].tolist())], pa.binary())],
+            pa.array(keys[bucket[new[cut]]]),
+            pa.array([sets[a:z].tobytes() for a, z in zip(rows_s, rows_s[1:])], pa.binary()),
+            pa.array([six[a:z].tobytes() for a, z in zip(rows_e, rows_e[1:])], pa.binary())],
             names=["bucket", "sets", "sigs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +276,7 @@ def index(docs: DataFrame, buckets: int, k: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(run, "bucket long, sets binary, sigs binary")
 
 
-def meet(indexed: DataFrame, buckets: int, parts: int, group: int = GROUP) -> DataFrame:
+def meet(indexed: DataFrame, parts: int, group: int = GROUP) -> DataFrame:
     """(kind, a, b, n, info) from equal signatures.
 
     kind 0: candidate pair of set_ids a < b.  kind 1: set b (of size n, with
@@ -228,21 +287,24 @@ def meet(indexed: DataFrame, buckets: int, parts: int, group: int = GROUP) -> Da
         sets, sigs = [], []
         for b in batches:
             for s, g in zip(b.column("sets"), b.column("sigs")):
-                sets.append(np.frombuffer(s.as_buffer(), np.int64).reshape(-1, 4))
-                sigs.append(np.frombuffer(g.as_buffer(), U64))
+                sets.append(np.frombuffer(s.as_buffer(), SET))
+                six = np.frombuffer(g.as_buffer(), np.uint8).reshape(-1, 6)
+                wide = np.zeros((len(six), 8), np.uint8)
+                wide[:, :6] = six
+                sigs.append(wide.view("<u8").ravel())
         if not sets:
             return
         table, sig = np.concatenate(sets), np.concatenate(sigs)
         sets.clear(), sigs.clear()
-        row = np.repeat(np.arange(len(table)), table[:, 3])
-        order = np.lexsort((table[row, 0], sig))
+        row = np.repeat(np.arange(len(table)), table["entries"])
+        order = np.lexsort((table["set_id"][row], sig))
         sig, row = sig[order], row[order]
-        sid = table[row, 0]
+        sid = table["set_id"][row]
         one = np.r_[True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])]      # a set once per signature
         sig, row, sid = sig[one], row[one], sid[one]
         first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         size = np.diff(np.r_[first, len(sig)])
-        n = table[row, 1]
+        n = table["n"][row].astype(np.int64)
         pairs = []
 
         def keep(x, y):
@@ -271,7 +333,7 @@ def meet(indexed: DataFrame, buckets: int, parts: int, group: int = GROUP) -> Da
             r = place[a:a + 100_000]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.ones(len(r), np.int32)), pa.array(sig[r].view(np.int64)), pa.array(sid[r]),
-                pa.array(n[r]), pa.array(table[row[r], 2].copy())], names=names)
+                pa.array(n[r]), pa.array(table["info"][row[r]].astype(np.int64))], names=names)
 
     names = ["kind", "a", "b", "n", "info"]
     return (indexed.repartition(parts, "bucket").select("sets", "sigs")
@@ -314,20 +376,14 @@ def ngram_components(docs: DataFrame, k: int = SHINGLE, group: int = GROUP) -> D
     docs = documents(docs)
     spark = docs.sparkSession
     cls = cut_lineage(classes(docs, k))
-    reps = (cls.filter("set_id <> 0").groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    sets = cut_lineage(cls.filter("set_id <> 0").groupBy("set_id").agg(
+        F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")))
     total = cls.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // (2 * TASK_SIGNATURES) + 1)
-    met = cut_lineage(meet(index(docs, 8 * parts, k), 8 * parts, parts, group))
-    ids = reps.groupBy("set_id").agg(F.min("rep").alias("rep"))
-
-    def by_doc(pairs: DataFrame) -> DataFrame:
-        a, b = ids.select(F.col("set_id").alias("a"), F.col("rep").alias("x")), ids.select(
-            F.col("set_id").alias("b"), F.col("rep").alias("y"))
-        return cut_lineage(pairs.join(a, "a").join(b, "b").select(
-            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-
-    texts = docs
-    links = cut_lineage(verify(by_doc(met.filter("kind = 0").select("a", "b").distinct()), texts, k).distinct())
+    met = cut_lineage(meet(index(docs, bucket_keys(spark, parts), k), parts, group))
+    ids = sets.select("set_id", "rep")
+    pairs = cut_lineage(plausible(met.filter("kind = 0").select("a", "b").distinct(), sets))
+    links = cut_lineage(verify(pairs, docs, k).distinct())
     comp = cut_lineage(connected_components(None, links))
     # hot signatures: sets whose spare segments do not make up for their hot ones
     member = met.filter("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("set_id"), "n", "info")
@@ -336,18 +392,18 @@ def ngram_components(docs: DataFrame, k: int = SHINGLE, group: int = GROUP) -> D
              .withColumn("short", F.lit(True)))
     named = (member.select("sig", "set_id", "n").join(ids, "set_id").join(short, "set_id", "left")
              .join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left")
-             .select("sig", "rep", "n", F.coalesce("comp", "rep").alias("comp"),
+             .select("sig", "set_id", "rep", "n", F.coalesce("comp", "rep").alias("comp"),
                      F.coalesce("short", F.lit(False)).alias("short")))
     mixed = (named.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"),
                                       F.max("short").alias("any")).filter("c0 <> c1 and any").select("sig"))
     open_ = cut_lineage(named.join(mixed, "sig", "left_semi"))
-    x = open_.filter("short").select("sig", *(F.col(c).alias(f"{c}1") for c in ("rep", "n", "comp")))
+    x = open_.filter("short").select("sig", *(F.col(c).alias(f"{c}1") for c in ("set_id", "rep", "n", "comp")))
     more = (x.join(open_, "sig").filter("comp <> comp1 and (not short or rep1 < rep)"
                                         " and 4 * least(n, n1) >= 3 * greatest(n, n1)")
-            .select(F.least("rep", "rep1").alias("a"), F.greatest("rep", "rep1").alias("b")).distinct())
-    more = cut_lineage(more)
+            .select(F.least("set_id", "set_id1").alias("a"), F.greatest("set_id", "set_id1").alias("b")).distinct())
+    more = cut_lineage(plausible(more, sets))
     if not more.isEmpty():
-        links = cut_lineage(links.unionByName(verify(more, texts, k)).distinct())
+        links = cut_lineage(links.unionByName(verify(more, docs, k)).distinct())
         comp = cut_lineage(connected_components(None, links))
     named_sets = ids.join(comp, F.col("rep") == F.col("id"), "left").select(
         F.col("set_id").alias("s"), F.coalesce("comp", "rep").alias("c"))
