@@ -10,11 +10,11 @@ as that and to meet on equal ones.  Costs decide what is indexed:
 * empty segments (which every set shares) cost too many candidates: none are indexed;
 * sets with too few non-empty segments also index the one-deletion
   neighbourhoods of all of theirs, worth two differences each;
-* subsets held by more than GROUP sets are hot: their sets are compared with
-  one hub each; a set whose slack covers its hot segments needs no more, and the
-  others are compared with the hot group's sets outside their own component.
+* subsets held by more than GROUP sets are hot: each meets one hub; a set whose
+  slack covers its hot segments needs no more, and the others meet the sets of
+  other components in as many of their smallest hot groups as they lack.
 
-Candidates are verified on the texts.  A pair is lost only by a collision of
+Candidates pass a parity sketch (an exact bound) and are verified on the texts.  A pair is lost only by a collision of
 64-bit hashes.
 """
 
@@ -25,14 +25,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsift.llm.tables import connected_components, documents
 from docsift.llm.words import Prefix, U64, Words, chunks, mix, text_buffers
 from docsift.session import cut_lineage
 
-SHINGLE, GROUP = 5, 16
+SHINGLE, GROUP, BLOCK = 5, 16, 2048
 #: Signatures a reducing task holds (24 bytes each), and a mapping task before it emits.
 TASK_SIGNATURES, HELD = 4_000_000, 2_000_000
 
@@ -70,7 +70,7 @@ def segments(band: np.ndarray) -> np.ndarray:
 
 def slack(h: np.ndarray) -> np.ndarray:
     """Segments indexed beyond H + 1, to make up for hot ones."""
-    return 2 + h // 12
+    return 8 + h // 4
 
 
 def signatures(doc: np.ndarray, e: np.ndarray, n: np.ndarray, seed: int = 0, only: np.ndarray | None = None):
@@ -340,6 +340,77 @@ def meet(indexed: DataFrame, parts: int, group: int = GROUP) -> DataFrame:
             .mapInArrow(run, "kind int, a long, b long, n long, info long"))
 
 
+def unmet(member: DataFrame, sets: DataFrame, comp: DataFrame, parts: int) -> DataFrame:
+    """Plausible pairs (a, b) of documents that hot signatures hide, in different components.
+
+    A set needs any H + 1 of its indexed segments compared.  What its spare and
+    ordinary ones leave it picks from its hot ones, those of the smallest groups
+    first (probes).  A group's probes meet its sets of other components in
+    block pairs of at most 2 * BLOCK sets, whose sketches are compared inside
+    the task; only pairs that may be linked come out.
+    """
+    m = member.select(F.col("a").alias("sig"), F.col("b").alias("set_id"), "n", F.pmod("info", F.lit(65536)).alias("spare"), "info")
+    size = m.groupBy("sig").agg(F.count(F.lit(1)).alias("f"))
+    m = cut_lineage(m.join(size, "sig"))
+    hot = m.groupBy("set_id", "info").agg(F.count(F.lit(1)).alias("hot"))
+    rank = F.row_number().over(Window.partitionBy("set_id", "info").orderBy("f", "sig"))      # at most m rows a set
+    probes = (m.withColumn("rank", rank).join(hot, ["set_id", "info"])
+              .withColumn("probe", F.col("rank") <= F.col("hot") - F.greatest(F.col("spare") - 1, F.lit(0)))
+              .select("sig", "set_id", "n", "f", "probe"))
+    c = comp.select(F.col("id").alias("rep"), "comp")
+    named = cut_lineage(probes.join(sets.select("set_id", "rep"), "set_id").join(c, "rep", "left").select(
+        "sig", "set_id", "rep", "n", "f", "probe", F.coalesce("comp", "rep").alias("comp")))
+    mixed = (named.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"),
+                                      F.max("probe").alias("any")).filter("c0 <> c1 and any").select("sig"))
+    blocks = F.ceil(F.col("f") / BLOCK).cast("int")
+    dealt = (named.join(mixed, "sig", "left_semi").join(sets.select("set_id", "sketch"), "set_id")
+             .withColumn("own", F.pmod(F.xxhash64("set_id"), blocks).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+             .select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
+                     "own", "rep", "n", "comp", "probe", "sketch"))
+
+    def group(rows: list[dict]) -> set[tuple[int, int]]:
+        width = min(len(r["sketch"]) for r in rows)
+        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(r["sketch"], U64).reshape(-1, width // 8), axis=0)
+                         for r in rows])
+        rep, n, cid, own, probe = (np.array([r[c] for r in rows]) for c in ("rep", "n", "comp", "own", "probe"))
+        x, y = rows[0]["x"], rows[0]["y"]
+        out = set()
+        for i in np.flatnonzero(probe).tolist():
+            ok = (cid != cid[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i]))
+            ok &= (own != own[i]) | (x == y)
+            j = np.flatnonzero(ok)
+            if len(j):
+                j = j[7 * np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= n[j] + n[i]]
+                out.update((min(int(rep[i]), r), max(int(rep[i]), r)) for r in rep[j].tolist())
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, found = [], None, set()
+
+        def emit():
+            pairs = sorted(found)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            for r in b.to_pylist():
+                at = (r["sig"], r["x"], r["y"])
+                if at != key:
+                    if len(held) > 1:
+                        found.update(group(held))
+                    held, key = [], at
+                    if len(found) > 100_000:
+                        yield emit()
+                held.append(r)
+        if len(held) > 1:
+            found.update(group(held))
+        yield emit()
+
+    return (dealt.repartition(parts, "sig", "x", "y").sortWithinPartitions("sig", "x", "y")
+            .mapInArrow(run, "a long, b long").distinct())
+
+
 def verify(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) of document ids whose texts' shingle sets have J >= 3/4."""
 
@@ -385,23 +456,7 @@ def ngram_components(docs: DataFrame, k: int = SHINGLE, group: int = GROUP) -> D
     pairs = cut_lineage(plausible(met.filter("kind = 0").select("a", "b").distinct(), sets))
     links = cut_lineage(verify(pairs, docs, k).distinct())
     comp = cut_lineage(connected_components(None, links))
-    # hot signatures: sets whose spare segments do not make up for their hot ones
-    member = met.filter("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("set_id"), "n", "info")
-    short = (member.groupBy("set_id", "info").agg(F.count(F.lit(1)).alias("hot"))
-             .filter(F.col("hot") > F.pmod("info", F.lit(65536)) - 1).select("set_id").distinct()
-             .withColumn("short", F.lit(True)))
-    named = (member.select("sig", "set_id", "n").join(ids, "set_id").join(short, "set_id", "left")
-             .join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left")
-             .select("sig", "set_id", "rep", "n", F.coalesce("comp", "rep").alias("comp"),
-                     F.coalesce("short", F.lit(False)).alias("short")))
-    mixed = (named.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"),
-                                      F.max("short").alias("any")).filter("c0 <> c1 and any").select("sig"))
-    open_ = cut_lineage(named.join(mixed, "sig", "left_semi"))
-    x = open_.filter("short").select("sig", *(F.col(c).alias(f"{c}1") for c in ("set_id", "rep", "n", "comp")))
-    more = (x.join(open_, "sig").filter("comp <> comp1 and (not short or rep1 < rep)"
-                                        " and 4 * least(n, n1) >= 3 * greatest(n, n1)")
-            .select(F.least("set_id", "set_id1").alias("a"), F.greatest("set_id", "set_id1").alias("b")).distinct())
-    more = cut_lineage(plausible(more, sets))
+    more = cut_lineage(unmet(met.filter("kind = 1"), sets, comp, parts))
     if not more.isEmpty():
         links = cut_lineage(links.unionByName(verify(more, docs, k)).distinct())
         comp = cut_lineage(connected_components(None, links))
