@@ -42,7 +42,8 @@ def sq_dist(a, b) -> Column:
 
 
 def cosine(a, b) -> Column:
-    return dot(a, b) / (l2norm(a) * l2norm(b))
+    """Cosine of two vectors; NULL where one is zero."""
+    return F.try_divide(dot(a, b), l2norm(a) * l2norm(b))
 
 
 def vsum(c) -> Column:

@@ -355,7 +355,7 @@ FROM pairs p LEFT JOIN f USING (cs_a, cs_b)""",
 
 RUNS = CLEAN + """,
 runs AS (SELECT c.doc_id, CAST(r.run AS INTEGER) AS run, c.lang, c.source FROM clean c, range(8) r(run)
-         WHERE (c.doc_id * 7919 + r.run * 104729) % 1000 < 900),
+         WHERE CAST('0x' || substr(md5(CAST(c.doc_id AS VARCHAR) || '|' || CAST(r.run AS VARCHAR)), 1, 8) AS BIGINT) % 1000 < 900),
 rgrp AS (SELECT run, doc_id, s.cs,
                 CASE WHEN s.cs <= 10 THEN lang || '/' || source WHEN s.cs = 20 THEN source ELSE lang END AS g
          FROM runs, (VALUES (5), (10), (20), (30)) s(cs)),
@@ -433,9 +433,11 @@ FROM ed JOIN core c1 ON c1.doc_id = lo JOIN core c2 ON c2.doc_id = hi""",
 })
 
 
-ORACLE["wide_embedding"] = f"""PIVOT (SELECT doc_id, 'd' || CAST(dim AS VARCHAR) AS col, round(x, 6) AS value
-       FROM (SELECT doc_id, unnest(v) AS x, unnest(range(len(v))) AS dim FROM ({_EMB})))
-ON col USING first(value) GROUP BY doc_id"""
+ORACLE["wide_embedding"] = f"SELECT doc_id, {_wide(64)} FROM ({_EMB})"
+ORACLE["alignment_report"] = """SELECT coalesce(d.doc_id, e.vec_id) AS key,
+       CASE WHEN e.vec_id IS NULL THEN 'doc_only' ELSE 'vector_only' END AS side
+FROM documents d FULL OUTER JOIN embeddings e ON d.doc_id = e.vec_id
+WHERE d.doc_id IS NULL OR e.vec_id IS NULL"""
 
 ORACLE.update({
     "preview": f"WITH {TOPIC} SELECT * FROM info ORDER BY min_cluster_size, topic LIMIT 10",

@@ -295,6 +295,12 @@ def q_melt_embedding(spark, sf):
     return r6(V.melt(_vecs(spark, sf)))
 
 
+def q_alignment_report(spark, sf):
+    from docsift.operators.corpus import alignment_report
+    from docsift.sources.corpus import read_table
+    return alignment_report(read_table(spark, sf, "documents"), read_table(spark, sf, "embeddings"))
+
+
 def q_wide_embedding(spark, sf):
     v = _vecs(spark, sf)
     dim = len(v.select("vec").first()[0])
@@ -360,7 +366,7 @@ def q_reduce(spark, sf):
 
 QUERIES.update({
     "l2_normalise": q_l2_normalise, "melt_embedding": q_melt_embedding,
-    "wide_embedding": q_wide_embedding, "embedding_meta": q_embedding_meta,
+    "wide_embedding": q_wide_embedding, "alignment_report": q_alignment_report, "embedding_meta": q_embedding_meta,
     "scatter_split": q_scatter_split, "knn_exact": q_knn_exact, "core_distance": q_core_distance,
     "mutual_reach": q_mutual_reach, "mst_edges": q_mst_edges, "density_labels": q_density_labels,
     "persistence_summary": q_persistence_summary, "embed": q_embed, "reduce": q_reduce,
