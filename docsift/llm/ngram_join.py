@@ -341,7 +341,7 @@ def meet(indexed: DataFrame, parts: int, group: int = GROUP) -> DataFrame:
 
 
 def unmet(member: DataFrame, sets: DataFrame, comp: DataFrame, parts: int) -> DataFrame:
-    """Plausible pairs (a, b) of documents that hot signatures hide, in different components.
+    """Plausible pairs (a, b, d: least difference) of documents that hot signatures hide, in different components.
 
     A set needs any H + 1 of its indexed segments compared.  What its spare and
     ordinary ones leave it picks from its hot ones, those of the smallest groups
@@ -369,29 +369,32 @@ def unmet(member: DataFrame, sets: DataFrame, comp: DataFrame, parts: int) -> Da
              .select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
                      "own", "rep", "n", "comp", "probe", "sketch"))
 
-    def group(rows: list[dict]) -> set[tuple[int, int]]:
+    def group(rows: list[dict]) -> dict[tuple[int, int], int]:
         width = min(len(r["sketch"]) for r in rows)
         bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(r["sketch"], U64).reshape(-1, width // 8), axis=0)
                          for r in rows])
         rep, n, cid, own, probe = (np.array([r[c] for r in rows]) for c in ("rep", "n", "comp", "own", "probe"))
         x, y = rows[0]["x"], rows[0]["y"]
-        out = set()
+        out = {}
         for i in np.flatnonzero(probe).tolist():
             ok = (cid != cid[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i]))
             ok &= (own != own[i]) | (x == y)
             j = np.flatnonzero(ok)
             if len(j):
-                j = j[7 * np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= n[j] + n[i]]
-                out.update((min(int(rep[i]), r), max(int(rep[i]), r)) for r in rep[j].tolist())
+                d = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                near = 7 * d <= n[j] + n[i]
+                for r, e in zip(rep[j[near]].tolist(), d[near].tolist()):
+                    out[min(int(rep[i]), r), max(int(rep[i]), r)] = e
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key, found = [], None, set()
+        held, key, found = [], None, {}
 
         def emit():
-            pairs = sorted(found)
+            rows = [(a, b, d) for (a, b), d in found.items()]
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)],
+                                              names=["a", "b", "d"])
 
         for b in batches:
             for r in b.to_pylist():
@@ -408,7 +411,15 @@ def unmet(member: DataFrame, sets: DataFrame, comp: DataFrame, parts: int) -> Da
         yield emit()
 
     return (dealt.repartition(parts, "sig", "x", "y").sortWithinPartitions("sig", "x", "y")
-            .mapInArrow(run, "a long, b long").distinct())
+            .mapInArrow(run, "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d")))
+
+
+def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs whose documents are in different components, with those (ca, cb)."""
+    for side in ("a", "b"):
+        pairs = pairs.join(comp.select(F.col("id").alias(side), F.col("comp").alias(f"_{side}")), side, "left").withColumn(
+            f"c{side}", F.coalesce(f"_{side}", side)).drop(f"_{side}")
+    return pairs.filter("ca <> cb")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -457,8 +468,15 @@ def ngram_components(docs: DataFrame, k: int = SHINGLE, group: int = GROUP) -> D
     links = cut_lineage(verify(pairs, docs, k).distinct())
     comp = cut_lineage(connected_components(None, links))
     more = cut_lineage(unmet(met.filter("kind = 1"), sets, comp, parts))
-    if not more.isEmpty():
-        links = cut_lineage(links.unionByName(verify(more, docs, k)).distinct())
+    # the nearest candidate of each document in each other component first; mostly that joins them
+    named = apart(more, comp).groupBy("a", "cb").agg(F.min(F.struct("d", "b")).alias("m"))
+    first = cut_lineage(named.select("a", F.col("m.b").alias("b")))
+    for step in (lambda: first, lambda: cut_lineage(
+            apart(more, comp).select("a", "b").join(first, ["a", "b"], "left_anti"))):
+        pairs = step()
+        if pairs.isEmpty():
+            break
+        links = cut_lineage(links.unionByName(verify(pairs, docs, k)).distinct())
         comp = cut_lineage(connected_components(None, links))
     named_sets = ids.join(comp, F.col("rep") == F.col("id"), "left").select(
         F.col("set_id").alias("s"), F.coalesce("comp", "rep").alias("c"))
