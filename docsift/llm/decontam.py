@@ -14,7 +14,8 @@ from docsift.llm.tables import documents
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before lower-casing.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, BLOCK = 10, 1000
 #: Item windows that are broadcast at most (about 100 bytes each); more are joined by shuffle.
 MAX_BROADCAST = 1_000_000
@@ -102,12 +103,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     on = docs["doc_id"].cast("long").eqNullSafe(F.col("_bad"))
     if action == "document":
         return docs.join(bad, on, "left_anti")
-    # runs of hit words, few per text, then text = gap, word, gap, word, ..., gap
+    # text = gap, word, gap, word, ..., gap
     text = F.col("text").cast("string")
-    tokens, gaps = F.regexp_extract_all(text, F.lit(f"(?i)({WORD})"), F.lit(1)), F.split(text, f"(?i){WORD}")
-    hit = F.map_from_arrays(F.col("_spans"), F.transform("_spans", lambda _: F.lit(True)))
-    cut = F.array_join(F.concat(F.transform(tokens, lambda t, i: F.concat(
-        F.get(gaps, i), F.when(F.array_contains(F.map_keys(hit), i), "").otherwise(t))),
-        F.array(F.element_at(gaps, -1))), "")
-    return docs.join(bad, on, "left").withColumn(
-        "text", F.when(F.col("_spans").isNull(), text).otherwise(cut)).drop("_bad", "_spans")
+    found, gaps = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD)
+    left = F.transform(found, lambda t, i: F.concat(
+        F.get(F.col("_gaps"), i), F.when(F.array_contains("_spans", i), "").otherwise(t)))
+    cut = F.concat(F.array_join(left, ""), F.element_at("_gaps", -1))
+    hit = docs.join(bad, on, "left").withColumn("_gaps", F.when(F.col("_spans").isNotNull(), gaps))
+    return hit.withColumn(
+        "text", F.when(F.col("_spans").isNull(), text).otherwise(cut)).drop("_bad", "_spans", "_gaps")
