@@ -34,6 +34,10 @@ def _windows(ws: Column, k: Column | int) -> Column:
         lambda i: F.array_join(F.slice(ws, i, k), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def _block(length: int):
+    return lambda c: F.struct(c.alias("base"), F.slice("w", c + 1, length).alias("ws"))
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, k, win): distinct windows of each item; a shorter item is one window."""
     w = benchmark.select(F.col("item_id").cast("long").alias("item_id"),
@@ -48,15 +52,14 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = B
     keys = items.select("k", "win").distinct()
     sizes = [(r.k, r.n) for r in keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()]  # <= window rows
     small = sum(n for _, n in sizes) <= max_broadcast
-    blocks = (docs.select("doc_id", words(F.col("text")).alias("w")).filter("size(w) > 0")
-              .select("doc_id", F.explode(F.transform(
-                  F.sequence(F.lit(0), F.size("w") - 1, F.lit(block)),
-                  lambda c: F.struct(c.alias("base"), F.slice("w", c + 1, block + window - 1).alias("ws"))))
-                  .alias("b")))
+    texts = docs.select("doc_id", words(F.col("text")).alias("w")).filter("size(w) > 0")
     found = None
     for k, _ in sorted(sizes):
-        part = blocks.select("doc_id", F.col("b.base").alias("base"), _windows(
-            F.slice(F.col("b.ws"), 1, block + k - 1), k).alias("wins")).select(
+        # blocks are columns, not expressions: a lambda computes what it refers to for every element
+        blocks = texts.select("doc_id", F.explode(F.transform(
+            F.sequence(F.lit(0), F.size("w") - 1, F.lit(block)),
+            _block(block + k - 1))).alias("b"))
+        part = blocks.select("doc_id", F.col("b.base").alias("base"), _windows(F.col("b.ws"), k).alias("wins")).select(
             "doc_id", "base", F.posexplode("wins").alias("i", "win"))
         side = keys.filter(F.col("k") == k)
         part = part.join(F.broadcast(side) if small else side, "win").select(
