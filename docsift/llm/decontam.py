@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsift.llm.tables import documents
+from docsift.session import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -78,7 +79,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """
     docs = documents(docs)
     items = item_windows(benchmark, window)
-    found = hits(docs, items, window)
+    found = cut_lineage(hits(docs, items, window))       # read twice; the texts are scanned once
     cover = (found.select("doc_id", F.explode(F.expr("sequence(at, at + k - 1)")).alias("word")).distinct()
              .groupBy(F.col("doc_id").alias("d1")).agg(F.array_sort(F.collect_list("word")).alias("spans")))
     named = (found.select("doc_id", "win").distinct().join(items.select("win", "item_id"), "win")
