@@ -154,12 +154,13 @@ def _weak(weak, doc, e, n, h, band, seed):
 def parities(doc: np.ndarray, e: np.ndarray, n: np.ndarray) -> list[bytes]:
     """Parity sketch of each set: bit c tells whether cell c holds an odd number of elements.
 
-    Cells are a power of two, 64 or more and at least the set's size.  Sketches
-    of two sets differ in at most as many bits as the sets in elements.
+    Cells are a power of two, 64 or more and at least four times the set's size,
+    so that few differences share a cell: the bound is near the difference
+    itself.  Sketches of two sets differ in at most as many bits as the sets in elements.
     """
     bound, out = np.r_[0, np.cumsum(n)], []
     for a, z in zip(bound[:-1].tolist(), bound[1:].tolist()):
-        cells = max(64, 1 << (z - a - 1).bit_length()) if z > a else 64
+        cells = max(64, 4 << (z - a - 1).bit_length()) if z > a else 64
         odd = np.bincount((e[a:z] & U64(cells - 1)).astype(np.int64), minlength=cells) & 1
         out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
     return out
