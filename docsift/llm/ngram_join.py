@@ -341,14 +341,12 @@ def meet(indexed: DataFrame, parts: int, group: int = GROUP) -> DataFrame:
             .mapInArrow(run, "kind int, a long, b long, n long, info long"))
 
 
-def unmet(member: DataFrame, sets: DataFrame, comp: DataFrame, parts: int) -> DataFrame:
-    """Plausible pairs (a, b, d: least difference) of documents that hot signatures hide, in different components.
+def hot_members(member: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sig, set_id, rep, n, f, probe) of hot signatures; f: the holders of a signature.
 
     A set needs any H + 1 of its indexed segments compared.  What its spare and
     ordinary ones leave it picks from its hot ones, those of the smallest groups
-    first (probes).  A group's probes meet its sets of other components in
-    block pairs of at most 2 * BLOCK sets, whose sketches are compared inside
-    the task; only pairs that may be linked come out.
+    first (probes).
     """
     m = member.select(F.col("a").alias("sig"), F.col("b").alias("set_id"), "n", F.pmod("info", F.lit(65536)).alias("spare"), "info")
     size = m.groupBy("sig").agg(F.count(F.lit(1)).alias("f"))
@@ -358,9 +356,19 @@ def unmet(member: DataFrame, sets: DataFrame, comp: DataFrame, parts: int) -> Da
     probes = (m.withColumn("rank", rank).join(hot, ["set_id", "info"])
               .withColumn("probe", F.col("rank") <= F.col("hot") - F.greatest(F.col("spare") - 1, F.lit(0)))
               .select("sig", "set_id", "n", "f", "probe"))
+    return cut_lineage(probes.join(sets.select("set_id", "rep"), "set_id"))
+
+
+def unmet(hot: DataFrame, sets: DataFrame, comp: DataFrame, parts: int, nearest: bool) -> DataFrame:
+    """Plausible pairs (a, b) of documents that hot signatures hide, in different components.
+
+    A group's probes meet its sets of other components in block pairs of at
+    most 2 * BLOCK sets, whose sketches are compared inside the task; only
+    pairs that may be linked come out.  With `nearest`, a task gives only the
+    nearest partner of each probing set.
+    """
     c = comp.select(F.col("id").alias("rep"), "comp")
-    named = cut_lineage(probes.join(sets.select("set_id", "rep"), "set_id").join(c, "rep", "left").select(
-        "sig", "set_id", "rep", "n", "f", "probe", F.coalesce("comp", "rep").alias("comp")))
+    named = cut_lineage(hot.join(c, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")))
     mixed = (named.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"),
                                       F.max("probe").alias("any")).filter("c0 <> c1 and any").select("sig"))
     blocks = F.ceil(F.col("f") / BLOCK).cast("int")
@@ -370,13 +378,12 @@ def unmet(member: DataFrame, sets: DataFrame, comp: DataFrame, parts: int) -> Da
              .select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
                      "own", "rep", "n", "comp", "probe", "sketch"))
 
-    def group(rows: list[dict]) -> dict[tuple[int, int], int]:
+    def group(rows: list[dict], found: dict) -> None:
         width = min(len(r["sketch"]) for r in rows)
         bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(r["sketch"], U64).reshape(-1, width // 8), axis=0)
                          for r in rows])
         rep, n, cid, own, probe = (np.array([r[c] for r in rows]) for c in ("rep", "n", "comp", "own", "probe"))
         x, y = rows[0]["x"], rows[0]["y"]
-        out = {}
         for i in np.flatnonzero(probe).tolist():
             ok = (cid != cid[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i]))
             ok &= (own != own[i]) | (x == y)
@@ -384,43 +391,37 @@ def unmet(member: DataFrame, sets: DataFrame, comp: DataFrame, parts: int) -> Da
             if len(j):
                 d = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
                 near = 7 * d <= n[j] + n[i]
-                for r, e in zip(rep[j[near]].tolist(), d[near].tolist()):
-                    out[min(int(rep[i]), r), max(int(rep[i]), r)] = e
-        return out
+                me, others = int(rep[i]), zip(d[near].tolist(), rep[j[near]].tolist())
+                if not nearest:
+                    found.update(((min(me, r), max(me, r)), None) for _, r in others)
+                elif near.any():
+                    found[me] = min(min(others), found.get(me, (1 << 62, 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, found = [], None, {}
 
         def emit():
-            rows = [(a, b, d) for (a, b), d in found.items()]
+            rows = [(min(a, b), max(a, b)) for a, (_, b) in found.items()] if nearest else list(found)
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)],
-                                              names=["a", "b", "d"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)],
+                                              names=["a", "b"])
 
         for b in batches:
             for r in b.to_pylist():
                 at = (r["sig"], r["x"], r["y"])
                 if at != key:
                     if len(held) > 1:
-                        found.update(group(held))
+                        group(held, found)
                     held, key = [], at
                     if len(found) > 100_000:
                         yield emit()
                 held.append(r)
         if len(held) > 1:
-            found.update(group(held))
+            group(held, found)
         yield emit()
 
     return (dealt.repartition(parts, "sig", "x", "y").sortWithinPartitions("sig", "x", "y")
-            .mapInArrow(run, "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d")))
-
-
-def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs whose documents are in different components, with those (ca, cb)."""
-    for side in ("a", "b"):
-        pairs = pairs.join(comp.select(F.col("id").alias(side), F.col("comp").alias(f"_{side}")), side, "left").withColumn(
-            f"c{side}", F.coalesce(f"_{side}", side)).drop(f"_{side}")
-    return pairs.filter("ca <> cb")
+            .mapInArrow(run, "a long, b long").distinct())
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -468,17 +469,21 @@ def ngram_components(docs: DataFrame, k: int = SHINGLE, group: int = GROUP) -> D
     pairs = cut_lineage(plausible(met.filter("kind = 0").select("a", "b").distinct(), sets))
     links = cut_lineage(verify(pairs, docs, k).distinct())
     comp = cut_lineage(connected_components(None, links))
-    more = cut_lineage(unmet(met.filter("kind = 1"), sets, comp, parts))
-    # the nearest candidate of each document in each other component first; mostly that joins them
-    named = apart(more, comp).groupBy("a", "cb").agg(F.min(F.struct("d", "b")).alias("m"))
-    first = cut_lineage(named.select("a", F.col("m.b").alias("b")))
-    for step in (lambda: first, lambda: cut_lineage(
-            apart(more, comp).select("a", "b").join(first, ["a", "b"], "left_anti"))):
-        pairs = step()
+    # nearest partners first, as long as they mostly are links: that joins a crowd in few rounds
+    # and without its pairs; then every plausible pair that is still in two components
+    hot, nearest = hot_members(met.filter("kind = 1"), sets), True
+    while True:
+        pairs = cut_lineage(unmet(hot, sets, comp, parts, nearest))
         if pairs.isEmpty():
             break
-        links = cut_lineage(links.unionByName(verify(pairs, docs, k)).distinct())
-        comp = cut_lineage(connected_components(None, links))
+        new = cut_lineage(verify(pairs, docs, k).distinct())
+        n_new = new.count()
+        if n_new:
+            links = cut_lineage(links.unionByName(new).distinct())
+            comp = cut_lineage(connected_components(None, links))
+        if not nearest:
+            break
+        nearest = 2 * n_new >= pairs.count()
     named_sets = ids.join(comp, F.col("rep") == F.col("id"), "left").select(
         F.col("set_id").alias("s"), F.coalesce("comp", "rep").alias("c"))
     return cls.join(named_sets, F.col("set_id") == F.col("s"), "left").select(
