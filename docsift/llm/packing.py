@@ -183,7 +183,7 @@ def best_two_fit(counts: np.ndarray) -> list[tuple[int, dict[int, int]]]:
             used[n] = used.get(n, 0) + k
             gap -= n * k
         small = min(used)
-        if gap and len(used) > 1:
+        if gap and sum(used.values()) > 1:
             room = gap + small
             free = left.copy()
             for n, k in used.items():
