@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsift.llm.alignment import tokenizer_alignment
 from docsift.llm.decontam import contamination
 from docsift.llm.importance import importance_resample
 from docsift.llm.line_dedup import line_duplicates
 from docsift.llm.ngram_join import ngram_components
+from docsift.llm.oracles import url_verdicts_sql, vector_codes_sql
 from docsift.llm.packing import pack
 from docsift.llm.pii import PATTERNS, pseudonymise
 from docsift.llm.quality_rules import quality_rules
@@ -16,10 +18,15 @@ from docsift.llm.substring_dedup import substring_dedup
 from docsift.llm.suffix_dedup import suffix_dedup
 from docsift.llm.tables import read
 from docsift.llm.token_counts import edit_counts
+from docsift.llm.url_templates import url_verdicts
+from docsift.llm.vector_codes import vector_codes
 
 
 #: Key of the registered query only; callers of `pseudonymise` bring their own.
 PSEUDONYM_KEY = "docsift-example-key"
+#: Fixed rules of the registered query; callers of `url_verdicts` bring their own.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+             ("block", "net/es/"), ("block", "net/fr/")]
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -74,9 +81,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer_alignment(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                               tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(read(spark, sf_dir, "embeddings"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_line_dedup, op3_ngram_jaccard_join, op4_best_fit_packing, op5_decontamination,
-    op6_quality_rules, op7_edit_aware_counts, op8_importance_resampling, op9_pseudonyms, op10_substring_dedup)}
+    op6_quality_rules, op7_edit_aware_counts, op8_importance_resampling, op9_pseudonyms, op10_substring_dedup,
+    op11_tokenizer_alignment, op12_vector_codes, op13_url_filter)}
 
 _JACCARD = r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -132,4 +153,5 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN s USING (doc_id)
 """
 
-ORACLE = {"op1_suffix_array_dedup": _BYTES, "op3_ngram_jaccard_join": _JACCARD, "op5_decontamination": _DECONTAM, "op10_substring_dedup": _WORDS}
+ORACLE = {"op1_suffix_array_dedup": _BYTES, "op3_ngram_jaccard_join": _JACCARD, "op5_decontamination": _DECONTAM, "op10_substring_dedup": _WORDS,
+          "op12_vector_codes": vector_codes_sql(), "op13_url_filter": url_verdicts_sql(URL_RULES)}

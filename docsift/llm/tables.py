@@ -64,3 +64,27 @@ def connected_components(nodes: DataFrame | None, edges: DataFrame) -> DataFrame
         before = now
     comp = e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
     return comp.unionByName(comp.select(F.col("comp").alias("id"), "comp").distinct())
+
+
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], rows: str, heavy: int = 100_000) -> DataFrame:
+    """`big` left-joined with `small` on `keys` (nulls are equal), whatever share of `big` a key holds.
+
+    `small` has one row per key, with the key's number of rows of `big` in
+    column `rows` (not returned).  Keys with at least 1 / heavy of all rows, at
+    most `heavy` in number, are broadcast; the others are shuffled, and none of
+    them holds more than that share.  `big` must be a table (read twice).
+    """
+    side = cut_lineage(small)
+    total = side.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    side = side.select(*(F.col(k).alias(f"_join_{k}") for k in keys), F.struct(
+        *(c for c in side.columns if c not in (*keys, rows))).alias("_join_value"), F.col(rows).alias("_join_rows"))
+    same = [F.col(k).eqNullSafe(F.col(f"_join_{k}")) for k in keys]
+    often = F.col("_join_rows") * heavy >= F.lit(total)
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right.drop("_join_rows"), same, "left").drop(*(f"_join_{k}" for k in keys))
+
+    first = joined(big, F.broadcast(side.filter(often)))
+    rest = first.filter(F.col("_join_value").isNull()).drop("_join_value")
+    out = first.filter(F.col("_join_value").isNotNull()).unionByName(joined(rest, side.filter(~often)))
+    return out.select(*big.columns, "_join_value.*")
