@@ -79,7 +79,7 @@ class Pair:
         by_id = {i: t for t, i in ranks.items()}
         self.a = Vocabulary([by_id.get(i, b"") for i in range(max(by_id) + 1)])
         self.encode_a = tiktoken.Encoding("a", pat_str=PRE_TOKENS, mergeable_ranks=ranks,
-                                          special_tokens={}).encode_ordinary
+                                          special_tokens={}).encode_to_numpy
         self.model = sentencepiece.SentencePieceProcessor(model_file=path_b)
         tokens = []
         for i in range(self.model.get_piece_size()):
@@ -106,21 +106,25 @@ class Pair:
 
         A text that either side does not give back byte by byte has no tokens.
         """
-        a = [self.encode_a(" " + t) if t else [] for t in texts]
-        b = self.model.encode(texts, num_threads=1) if texts else []
-        want = [(" " + t).encode() if t else b"" for t in texts]
-        for k, (x, y, w) in enumerate(zip(a, b, want)):
-            if w and not (self._gives(self.a, x, w) and self._gives(self.b, y, w)):
-                a[k], b[k], want[k] = [], [], b""
-            elif not w:
-                b[k] = []
-        flat = lambda xs: np.fromiter((i for x in xs for i in x), np.int64, sum(map(len, xs)))
+        none = np.zeros(0, np.int32)
+        a, b, want = [], [], []
+        for t, ids in zip(texts, self.model.encode(texts, num_threads=1) if texts else []):
+            x, y, w = none, none, b""
+            if t:
+                w = (" " + t).encode()
+                x = self.encode_a(" " + t, disallowed_special=()).astype(np.int32)
+                y = np.array(ids, np.int32)
+                if not (self._gives(self.a, x, w) and self._gives(self.b, y, w)):
+                    x, y, w = none, none, b""
+            a.append(x)
+            b.append(y)
+            want.append(len(w))
         count = lambda xs: np.array([len(x) for x in xs], np.int64)
-        return flat(a), count(a), flat(b), count(b), count(want)
+        return (np.concatenate([none, *a]), count(a), np.concatenate([none, *b]), count(b),
+                np.array(want, np.int64))
 
     @staticmethod
-    def _gives(v: Vocabulary, ids: list[int], want: bytes) -> bool:
-        ids = np.array(ids, np.int64)
+    def _gives(v: Vocabulary, ids: np.ndarray, want: bytes) -> bool:
         return int(v.size[ids].sum()) == len(want) and v.joined(ids).tobytes() == want
 
 
@@ -135,15 +139,17 @@ class Aligned:
         in_a[end_a], in_b[end_b] = True, True
         ends = np.flatnonzero(in_a | in_b)                # one link ends at each
         both = (in_a & in_b)[ends]
-        self.link_a = a[np.cumsum(in_a)[ends] - in_a[ends]]
-        self.link_b = b[np.cumsum(in_b)[ends] - in_b[ends]]
+        self.link_a = a[(np.cumsum(in_a, dtype=np.int32) - in_a)[ends]].astype(np.int64)
+        self.link_b = b[(np.cumsum(in_b, dtype=np.int32) - in_b)[ends]].astype(np.int64)
         alone = both.copy()
         alone[1:] &= both[:-1]                            # one token of each side
         self.fast = alone & (pair.same[self.link_a] == self.link_b)
         self.bound = np.concatenate([[0], np.searchsorted(ends, stop, "right")])
         common = ends[both]
         self.n_groups = np.diff(np.concatenate([[0], np.searchsorted(common, stop, "right")]))
-        self._groups(pair, a, b, np.searchsorted(common, end_a), np.searchsorted(common, end_b), len(common))
+        joint = in_a & in_b
+        group = np.cumsum(joint, dtype=np.int32) - joint      # common ends before each byte offset
+        self._groups(pair, a, b, group[end_a], group[end_b], len(common))
 
     def _groups(self, pair: Pair, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray,
                 n: int) -> None:
