@@ -33,7 +33,7 @@ from docsift.llm.tables import documents
 from docsift.llm.words import chunks, text_buffers
 from docsift.session import cut_lineage
 
-CHUNK, FLUSH, HEAVY = 1 << 20, 1 << 19, 100_000
+CHUNK, FLUSH, HEAVY = 1 << 18, 1 << 19, 100_000
 #: Fixed value: how the byte-level vocabulary cuts texts into pre-tokens.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
