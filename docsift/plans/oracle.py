@@ -447,3 +447,19 @@ ORACLE["eval_summary"] = (
     "WITH sm AS (" + ORACLE["size_metrics"] + "), pc AS (" + ORACLE["pac"] + "), ch AS ("
     + ORACLE["coherence_summary"] + ") SELECT * FROM sm LEFT JOIN pc USING (min_cluster_size) "
     "LEFT JOIN ch USING (min_cluster_size)")
+
+ORACLE["knn_ivf"] = ORACLE["knn_exact"]
+
+#: Spanning tree of mutual reachability (Euclidean, m = 5) by adding the nearest point one at a time:
+#: the state is one row (distances of all points to the tree; null once inside).
+ORACLE["mst_edges"] = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM ({_EMB})),
+d AS MATERIALIZED (SELECT a.i, b.i AS j, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.i <> b.i),
+core AS (SELECT i, max(d) AS core FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM d) WHERE r <= 4 GROUP BY i),
+m AS MATERIALIZED (SELECT d.i, list(greatest(d, a.core, b.core) ORDER BY j) AS w FROM (SELECT * FROM d UNION ALL SELECT i, i, 0.0 FROM e) d
+     JOIN core a ON a.i = d.i JOIN core b ON b.i = d.j GROUP BY d.i),
+t AS (SELECT 1 AS step, list_transform(w, lambda x, k: CASE WHEN k = 1 THEN NULL ELSE x END) AS w, 0.0::DOUBLE AS total FROM m WHERE i = 1
+      UNION ALL
+      SELECT step + 1, list_transform(list_zip(t.w, m.w), lambda z, k: CASE WHEN k = m.i OR z[1] IS NULL THEN NULL ELSE least(z[1], z[2]) END),
+             total + list_min(t.w)
+      FROM t JOIN m ON m.i = list_position(t.w, list_min(t.w)) WHERE list_min(t.w) IS NOT NULL)
+SELECT max(step) - 1 AS n_edges, round(max(total), 6) AS total_weight FROM t"""

@@ -275,6 +275,7 @@ QUERIES.update({
 
 # --- vectors (D) and density (E) -------------------------------------------------------
 from docsift.functions.vectors import l2norm as _l2norm  # noqa: E402
+from docsift.operators import cells as Ce  # noqa: E402
 from docsift.operators import density as Dn  # noqa: E402
 from docsift.operators import knn as Kn  # noqa: E402
 from docsift.operators import vectors as V  # noqa: E402
@@ -325,6 +326,11 @@ def q_knn_exact(spark, sf):
     return r6(Kn.knn_exact(_vecs(spark, sf), 10, "cosine"))
 
 
+def q_knn_ivf(spark, sf):
+    """Neighbours through cells, with the cells that the k-th distance leaves open searched too: exact."""
+    return r6(Ce.knn_ivf(_vecs(spark, sf), 10, "cosine", refine=True))
+
+
 def q_core_distance(spark, sf):
     knn = Kn.knn_exact(_vecs(spark, sf), 4, "cosine")
     return r6(Dn.core_distance(knn, 5))
@@ -340,9 +346,9 @@ def _reduced(spark, sf, k=5):
 
 
 def q_mst_edges(spark, sf):
-    pts = _reduced(spark, sf)
-    knn = Kn.knn_exact(pts, 4, "euclidean")
-    return Dn.mst_boruvka(pts.join(Dn.core_distance(knn, 5), "doc_id"), "euclidean")
+    """Edges and total weight of the spanning tree (a tree's edges are not unique under equal weights)."""
+    tree = Dn.mst(_vecs(spark, sf), 5, "euclidean")
+    return r6(tree.agg(F.count(F.lit(1)).alias("n_edges"), F.sum("w").alias("total_weight")))
 
 
 def q_density_labels(spark, sf):
@@ -367,7 +373,7 @@ def q_reduce(spark, sf):
 QUERIES.update({
     "l2_normalise": q_l2_normalise, "melt_embedding": q_melt_embedding,
     "wide_embedding": q_wide_embedding, "alignment_report": q_alignment_report, "embedding_meta": q_embedding_meta,
-    "scatter_split": q_scatter_split, "knn_exact": q_knn_exact, "core_distance": q_core_distance,
+    "scatter_split": q_scatter_split, "knn_exact": q_knn_exact, "knn_ivf": q_knn_ivf, "core_distance": q_core_distance,
     "mutual_reach": q_mutual_reach, "mst_edges": q_mst_edges, "density_labels": q_density_labels,
     "persistence_summary": q_persistence_summary, "embed": q_embed, "reduce": q_reduce,
 })
