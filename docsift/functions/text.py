@@ -82,6 +82,11 @@ def py_strip(c) -> Column:
     return F.regexp_replace(col_of(c), rf"\A{ws}++|(?<!{ws}){ws}++\z", "")
 
 
+def is_blank(c) -> Column:
+    """Empty after a Python-style strip: no character outside its whitespace set (stops at the first one)."""
+    return ~col_of(c).rlike(r"[^" + WHITESPACE_CLASS[1:])
+
+
 def collapse_ws(c) -> Column:
     """Collapse whitespace runs to one space, then strip."""
     return py_strip(F.regexp_replace(col_of(c), f"{WHITESPACE_CLASS}+", " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.functions.text import collapse_ws, join_text, py_strip
+from docsift.functions.text import collapse_ws, is_blank, join_text
 
 
 def clean_corpus(df: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def clean_corpus(df: DataFrame) -> DataFrame:
     only spaces.  Adds `title_abstract` = strip(title + ' ' + abstract).
     """
     out = (df.filter(F.col("abstract").isNotNull())
-             .filter(py_strip("abstract") != "")
+             .filter(~is_blank("abstract"))
              .withColumn("title", F.coalesce(F.col("title").cast("string"), F.lit("")))
              .withColumn("abstract", F.col("abstract").cast("string")))
     return out.withColumn("title_abstract", join_text("title", "abstract"))

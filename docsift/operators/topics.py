@@ -240,66 +240,55 @@ def barchart_data(words: DataFrame, n_topics: int = 8, n_words: int = 5, keys=()
                         & (F.col("rank") <= n_words)).select(*keys, "topic", "rank", "term", "score")
 
 
-def topic_similarity(ct: DataFrame, keys=(), block_topics: int = 256,
-                     chunk_terms: int = 65536) -> DataFrame:
-    """Cosine similarity between topics' c-TF-IDF vectors, long form (topic_a, topic_b, similarity).
-
-    Topics of a setting are hashed into blocks of about `block_topics`; each
-    block pair (i <= j) is one `applyInPandas` task that receives the c-TF-IDF
-    entries of both blocks and forms the sparse product with one NumPy matrix
-    multiply over the union of their terms, in slices of `chunk_terms` terms
-    (memory per task <= 2 * block_topics * chunk_terms doubles).  No row per
-    (term, topic pair) is ever emitted.  Pairs sharing at
-    least one term are returned, both orders and the diagonal (a full matrix,
-    as a heatmap needs).
+def topic_similarity(ct: DataFrame, keys=(), block_topics: int = 256, chunk_terms: int = 65536,
+                     task_entries: int = 200_000) -> DataFrame:
+    """Cosine similarity of all topic pairs by c-TF-IDF, long form (topic_a, topic_b, similarity).
+
+    A full matrix, as a heatmap needs: both orders, the diagonal, and 0 for
+    topics without a shared term.  The work is cut two ways: topics into blocks
+    of about `block_topics`, terms into buckets so that a bucket of a setting
+    holds about `task_entries` entries.  A task multiplies one term bucket of one
+    block pair (in dense slices of at most `chunk_terms` terms) and emits partial
+    products, which are summed by topic pair; no task holds a setting's table and
+    no row per shared term is emitted.  All pairs come from the block pairs of
+    the topic list.
     """
     import numpy as np
-    import pandas as pd
     keys = _k(keys)
     v = ct.select(*keys, "topic", "term", "weight")
-    norm = v.groupBy(*keys, "topic").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("_n"))
-    nt = ct.select(*keys, "topic").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_t"))
-    nt = nt.withColumn("_b", F.greatest(F.lit(1), F.ceil(F.col("_t") / block_topics)).cast("int"))
-    pairs = (nt.select(*keys, "_b", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("bi"))
-             .select(*keys, "bi", F.explode(F.sequence(F.col("bi"), F.col("_b") - 1)).alias("bj")))
-    e = (v.join(nt.select(*keys, "_b"), keys) if keys else
-         v.withColumn("_g", F.lit(0)).join(nt.withColumn("_g", F.lit(0)).select("_g", "_b"), "_g").drop("_g"))
-    e = e.withColumn("blk", F.pmod(F.xxhash64("topic"), F.col("_b")).cast("int")).drop("_b")
-    pk = pairs.withColumnRenamed("bi", "p_bi").withColumnRenamed("bj", "p_bj")
-    cond_l = [e[k] == pk[k] for k in keys] + [e["blk"] == pk["p_bi"]]
-    cond_r = [e[k] == pk[k] for k in keys] + [e["blk"] == pk["p_bj"], pk["p_bi"] < pk["p_bj"]]
-    sel = [e[k] for k in keys] + [e["topic"], e["term"], e["weight"], pk["p_bi"].alias("bi"),
-                                  pk["p_bj"].alias("bj")]
-    rows = (e.join(pk, cond_l).select(*sel).withColumn("side", F.lit(0))
-            .unionByName(e.join(pk, cond_r).select(*sel).withColumn("side", F.lit(1))))
+    per = v.groupBy(*keys).agg(F.countDistinct("topic").alias("_t"), F.count(F.lit(1)).alias("_e"))
+    per = per.select(*keys, F.ceil(F.col("_t") / block_topics).cast("int").alias("_b"),
+                     F.ceil(F.col("_e") / task_entries).cast("int").alias("_n"))
+    joined = lambda df: df.join(per, keys) if keys else df.crossJoin(F.broadcast(per))  # noqa: E731  one row
+    block = F.pmod(F.xxhash64("topic"), F.col("_b")).cast("int")
+
+    def met(df: DataFrame) -> DataFrame:
+        """Rows of both blocks of every block pair (bi <= bj)."""
+        other = joined(df).withColumn("_blk", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+        return (other.withColumn("bi", F.least("_blk", "_o")).withColumn("bj", F.greatest("_blk", "_o"))
+                .withColumn("side", (F.col("_blk") > F.col("_o")).cast("int")).drop("_blk", "_o", "_b"))
+
+    entries = met(v).withColumn("_n", F.pmod(F.xxhash64("term"), F.col("_n")).cast("int"))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf[pdf["side"] == 0]
-        b = pdf[pdf["side"] == 1]
-        diag = len(b) == 0
-        if diag:
-            b = a
-        terms = np.unique(np.concatenate([a["term"].to_numpy(), b["term"].to_numpy()]))
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        diag = pdf["bi"].iloc[0] == pdf["bj"].iloc[0]
+        b = a if diag else b
+        terms = np.intersect1d(a["term"].to_numpy(), b["term"].to_numpy())
         ta, ia = np.unique(a["topic"].to_numpy(), return_inverse=True)
         tb, ib = np.unique(b["topic"].to_numpy(), return_inverse=True)
-        ka = np.searchsorted(terms, a["term"].to_numpy())
-        kb = np.searchsorted(terms, b["term"].to_numpy())
-        wa, wb = a["weight"].to_numpy(), b["weight"].to_numpy()
         d = np.zeros((len(ta), len(tb)))
-        share = np.zeros((len(ta), len(tb)))
-        # dense slices of at most `chunk_terms` terms keep a task's memory bounded
+        at = {t: i for i, t in enumerate(terms)}
+        ka, kb = (x["term"].map(at).fillna(-1).to_numpy(np.int64) for x in (a, b))
+        wa, wb = a["weight"].to_numpy(), b["weight"].to_numpy()
         for lo in range(0, len(terms), chunk_terms):
-            hi = lo + chunk_terms
-            sa, sb = (ka >= lo) & (ka < hi), (kb >= lo) & (kb < hi)
-            if not sa.any() or not sb.any():
-                continue
-            ma = np.zeros((len(ta), min(hi, len(terms)) - lo))
-            mb = np.zeros((len(tb), ma.shape[1]))
-            np.add.at(ma, (ia[sa], ka[sa] - lo), wa[sa])
-            np.add.at(mb, (ib[sb], kb[sb] - lo), wb[sb])
+            hi = min(lo + chunk_terms, len(terms))
+            ma, mb = np.zeros((len(ta), hi - lo)), np.zeros((len(tb), hi - lo))
+            for m, i, k, w in ((ma, ia, ka, wa), (mb, ib, kb, wb)):
+                use = (k >= lo) & (k < hi)
+                np.add.at(m, (i[use], k[use] - lo), w[use])
             d += ma @ mb.T
-            share += (ma > 0).astype(np.float64) @ (mb > 0).astype(np.float64).T
-        i, j = np.nonzero(share > 0)
+        i, j = np.nonzero(d)
         out = pd.DataFrame({"topic_a": ta[i], "topic_b": tb[j], "_dot": d[i, j]})
         if not diag:
             out = pd.concat([out, pd.DataFrame({"topic_a": tb[j], "topic_b": ta[i], "_dot": d[i, j]})],
@@ -308,14 +297,22 @@ def topic_similarity(ct: DataFrame, keys=(), block_topics: int = 256,
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
-    key_types = dict(ct.dtypes)
-    schema = ", ".join([f"{k} {key_types[k]}" for k in keys] + ["topic_a int", "topic_b int", "_dot double"])
-    dot = rows.groupBy(*keys, "bi", "bj").applyInPandas(kernel, schema)
-    na = norm.withColumnRenamed("topic", "topic_a").withColumnRenamed("_n", "_na")
-    nb = norm.withColumnRenamed("topic", "topic_b").withColumnRenamed("_n", "_nb")
-    return (dot.join(na, keys + ["topic_a"]).join(nb, keys + ["topic_b"])
-            .select(*keys, "topic_a", "topic_b",
-                    (F.col("_dot") / (F.col("_na") * F.col("_nb"))).alias("similarity")))
+    types = dict(ct.dtypes)
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["topic_a int", "topic_b int", "_dot double"])
+    dot = entries.groupBy(*keys, "_n", "bi", "bj").applyInPandas(kernel, schema).groupBy(
+        *keys, "topic_a", "topic_b").agg(F.sum("_dot").alias("_dot"))
+    norm = v.groupBy(*keys, "topic").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("_norm"))
+    listed = met(norm).drop("_n")
+    pair = [*keys, "bi", "bj"]
+    a = listed.filter("side = 0").select(*pair, F.col("topic").alias("topic_a"), F.col("_norm").alias("_na"))
+    b = listed.filter("side = 1 OR bi = bj").select(*pair, F.col("topic").alias("topic_b"), F.col("_norm").alias("_nb"))
+    half = a.join(b, pair).drop("bi", "bj")
+    back = a.filter("bi < bj").join(b, pair).select(*keys, F.col("topic_b").alias("topic_a"), F.col("_nb").alias("_na"),
+                                                    F.col("topic_a").alias("topic_b"), F.col("_na").alias("_nb"))
+    every = half.select(*keys, "topic_a", "_na", "topic_b", "_nb").unionByName(back)
+    return every.join(dot, [*keys, "topic_a", "topic_b"], "left").select(
+        *keys, "topic_a", "topic_b",
+        F.coalesce(F.try_divide("_dot", F.col("_na") * F.col("_nb")), F.lit(0.0)).alias("similarity"))
 
 
 def heatmap_k(assign: DataFrame, cap: int = 15, keys=()) -> DataFrame:
@@ -346,69 +343,57 @@ def preview(info: DataFrame, n: int = 10) -> DataFrame:
     return info.orderBy("topic").limit(n)
 
 
-def topic_hierarchy(sim: DataFrame, n_groups: DataFrame | None = None, keys=()):
-    """Single-linkage hierarchy of topics on distance 1 - similarity, cut into groups.
+def topic_hierarchy(sim: DataFrame, n_groups: DataFrame | None = None, keys=()) -> tuple[DataFrame, DataFrame]:
+    """Single-linkage hierarchy of the topics of every setting on distance 1 - similarity, cut into groups.
+
+    `sim`: a full matrix as by `topic_similarity`; its diagonal is the topic
+    list, so a topic that shares no term with others joins at distance 1, and a
+    setting of one topic has one group.  Noise is left out; a setting with noise
+    alone has no rows.  All settings share one forest and one hierarchy job.
 
-    Per setting: spanning forest by Boruvka on the topic graph (noise
-    excluded), merges by the dendrogram builder (leaf id = topic + 1); cutting
-    the k - 1 heaviest tree edges gives k groups (k from `heatmap_k`).
-    Returns (merges (keys, node, left, right, distance, size),
-             groups (keys, topic, group)).  Settings are a short parameter list.
+    Returns merges (keys, node, parent, topic, distance, size): topics are the
+    leaves (distance 0), topics that meet at equal distance one node; and groups
+    (keys, topic, group): the parts left when all edges heavier than the k-th
+    heaviest are cut (at most k groups, k without equal distances; k from
+    `n_groups`, else 1), numbered by their least topic.
     """
-    from docsift.operators.density import _ckpt, dendrogram, mst_from_edges
+    from docsift.operators import graph, hierarchy
+    from docsift.operators.density import mst_from_edges
+    from docsift.operators.ranks import global_rank, rank_within
+    from docsift.session import cut_lineage
     keys = _k(keys)
-    # the similarity table is T^2 rows per setting: materialise it once for the loops below
-    s = _ckpt(sim.filter((F.col("topic_a") != NOISE) & (F.col("topic_b") != NOISE)
-                         & (F.col("topic_a") < F.col("topic_b"))))
-    if n_groups is not None:
-        n_groups = _ckpt(n_groups)
-    settings = [tuple(r) for r in s.select(*keys).distinct().collect()] if keys else [()]
-    all_m, all_g = [], []
-    for st in settings:
-        cond = F.lit(True)
-        for k, v in zip(keys, st):
-            cond = cond & (F.col(k) == F.lit(v))
-        e = s.filter(cond).select((F.col("topic_a") + 1).cast("long").alias("u"),
-                                  (F.col("topic_b") + 1).cast("long").alias("v"),
-                                  F.greatest(F.lit(0.0), 1 - F.col("similarity")).alias("w"))
-        forest, _ = mst_from_edges(e)
-        merges = _ckpt(dendrogram(forest))
-        k_groups = 1
-        if n_groups is not None:
-            row = n_groups.filter(cond).select("n_groups").first()
-            k_groups = int(row[0]) if row and row[0] is not None else 1
-        g = _cut_groups(merges, e, k_groups)
-        lit_keys = [F.lit(v).alias(k) for k, v in zip(keys, st)]
-        all_g.append(g.select(*lit_keys, "topic", "group"))
-        all_m.append(merges.select(*lit_keys, "node", "left", "right", F.col("w").alias("distance"), "size"))
-    m, g = all_m[0], all_g[0]
-    for x in all_m[1:]:
-        m = m.unionByName(x)
-    for x in all_g[1:]:
-        g = g.unionByName(x)
-    return m, g
-
-
-def _cut_groups(merges: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """(topic, group): leaves under the same kept merge after dropping the k - 1 last merges.
-
-    The last merges of single linkage are the heaviest spanning-tree edges,
-    so this equals cutting those edges.  Each node's highest kept ancestor is
-    found by pointer jumping; groups are numbered by that ancestor.
-    """
-    from docsift.operators.density import _jump
-    leaves = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    n_m = merges.count()
-    limit = (merges.agg(F.min("node")).first()[0] or 0) + n_m - (k - 1)
-    kids = (merges.select(F.col("left").alias("node"), F.col("node").alias("parent"))
-            .unionByName(merges.select(F.col("right").alias("node"), F.col("node").alias("parent"))))
-    allnodes = leaves.unionByName(merges.select("node")).distinct().join(kids, "node", "left")
-    done = F.col("parent").isNull() | (F.col("parent") >= limit)
-    chain = allnodes.select("node", F.when(done, F.col("node")).otherwise(F.col("parent")).alias("ptr"),
-                            done.alias("done"))
-    top = _jump(chain, "node", "ptr", "done")
-    g = top.join(leaves, "node").select((F.col("node") - 1).cast("int").alias("topic"), F.col("target"))
-    return g.withColumn("group", (F.dense_rank().over(Window.orderBy("target")) - 1).cast("int")).drop("target")
+    s = cut_lineage(sim.filter((F.col("topic_a") != NOISE) & (F.col("topic_b") != NOISE)
+                               & (F.col("topic_a") <= F.col("topic_b"))))
+    topics = s.filter("topic_a = topic_b").select(*keys, F.col("topic_a").alias("topic"))
+    settings = cut_lineage(global_rank(topics.select(*keys).distinct(), keys, "g") if keys
+                           else topics.limit(1).select(F.lit(0).cast("long").alias("g")))
+    add = lambda df: df.join(settings, keys) if keys else df.withColumn("g", F.lit(0).cast("long"))
+    leaf = cut_lineage(global_rank(add(topics), ["g", "topic"], "uid"))
+    a, b = (leaf.select(*keys, F.col("topic").alias(f"topic_{x}"), F.col("uid").alias(y)) for x, y in ("au", "bv"))
+    e = s.filter("topic_a < topic_b").join(a, [*keys, "topic_a"]).join(b, [*keys, "topic_b"]).select(
+        "u", "v", F.greatest(F.lit(0.0), 1 - F.col("similarity")).alias("w"))
+    forest = cut_lineage(mst_from_edges(e)[0].join(leaf.select(F.col("uid").alias("lo"), "g"), "lo"))
+    tree = hierarchy.hierarchy(forest)
+    # the k-th heaviest edge of each setting
+    want = add(n_groups).select("g", F.coalesce("n_groups", F.lit(1)).alias("k")) if n_groups is not None \
+        else settings.select("g", F.lit(1).alias("k"))
+    heavy = rank_within(forest, ["g"], [F.col("w").desc()], "r").join(want, "g").filter(F.col("r") == F.col("k") - 1)
+    kept = tree.join(heavy.select("g", F.col("w").alias("at")), "g", "left").withColumn(
+        "held", F.col("leaf") | (F.col("w") <= F.coalesce("at", F.lit(-1.0))))
+    above = kept.select(F.col("node").alias("parent"), F.col("held").alias("up"))
+    marked = kept.join(above, "parent", "left").select(
+        "node", "parent", (F.col("held") & ~F.coalesce("up", F.lit(False))).alias("marked"))
+    top = graph.nearest(marked)
+    own = leaf.join(top.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
+        "target", F.coalesce("target", "uid"))               # a setting's only topic has no edge
+    first = own.groupBy("g", "target").agg(F.min("topic").alias("_first"))
+    first = rank_within(first, ["g"], ["_first"], "group")
+    groups = own.join(first.select("target", F.col("group").cast("int").alias("group")), "target").select(
+        *keys, "topic", "group")
+    named = leaf.select(F.col("uid").alias("node"), "topic")
+    merges = tree.join(named, "node", "left")
+    merges = merges.join(settings, "g") if keys else merges
+    return merges.select(*keys, "node", "parent", "topic", F.col("w").alias("distance"), "size"), groups
 
 
 def rerank_words(ct: DataFrame, doc_terms: DataFrame, doc_vecs: DataFrame, assign: DataFrame,
@@ -420,7 +405,7 @@ def rerank_words(ct: DataFrame, doc_terms: DataFrame, doc_vecs: DataFrame, assig
     aggregates (partial map-side), so a word or topic holding a third of all
     documents is still reduced across tasks.  Output like `topic_words`.
     """
-    from docsift.functions.vectors import dot, l2norm, vsum
+    from docsift.functions.vectors import cosine, vsum
     keys = _k(keys)
     cand = topic_words(ct, candidates, keys).select(*keys, "topic", "term")
     vocab = cand.select("term").distinct()
@@ -430,7 +415,7 @@ def rerank_words(ct: DataFrame, doc_terms: DataFrame, doc_vecs: DataFrame, assig
     tv = (assign.select(*keys, "doc_id", "topic").join(doc_vecs.select("doc_id", "vec"), "doc_id")
           .groupBy(*keys, "topic").agg(vsum(F.col("vec")).alias("tv")))
     j = cand.join(wv, "term").join(tv, keys + ["topic"])
-    j = j.withColumn("score", dot(F.col("wv"), F.col("tv")) / (l2norm(F.col("wv")) * l2norm(F.col("tv"))))
+    j = j.withColumn("score", cosine(F.col("wv"), F.col("tv")))
     w = Window.partitionBy(*keys, "topic").orderBy(F.col("score").desc(), F.col("term"))
     return (j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
             .select(*keys, "topic", F.col("rank").cast("int"), "term", "score"))

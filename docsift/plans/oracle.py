@@ -226,9 +226,9 @@ WHERE topic >= 0 AND topic < 8 AND rank <= 5""",
 nrm AS (SELECT min_cluster_size, topic, sqrt(sum(weight * weight)) AS n FROM ct GROUP BY ALL),
 dt AS (SELECT a.min_cluster_size, a.topic AS topic_a, b.topic AS topic_b, sum(a.weight * b.weight) AS dot
        FROM ct a JOIN ct b ON a.min_cluster_size = b.min_cluster_size AND a.term = b.term GROUP BY ALL)
-SELECT dt.min_cluster_size, topic_a, topic_b, {_r('dot / (na.n * nb.n)')} AS similarity
-FROM dt JOIN nrm na ON na.min_cluster_size = dt.min_cluster_size AND na.topic = topic_a
-        JOIN nrm nb ON nb.min_cluster_size = dt.min_cluster_size AND nb.topic = topic_b""",
+SELECT na.min_cluster_size, na.topic AS topic_a, nb.topic AS topic_b, {_r('coalesce(dot, 0.0) / (na.n * nb.n)')} AS similarity
+FROM nrm na JOIN nrm nb ON na.min_cluster_size = nb.min_cluster_size
+     LEFT JOIN dt ON dt.min_cluster_size = na.min_cluster_size AND dt.topic_a = na.topic AND dt.topic_b = nb.topic""",
     "heatmap_k": f"""WITH {TOPIC},
 nt AS (SELECT min_cluster_size, count(DISTINCT CASE WHEN topic <> -1 THEN topic END) AS n_topics FROM assign GROUP BY ALL)
 SELECT min_cluster_size, n_topics,
@@ -463,3 +463,20 @@ t AS (SELECT 1 AS step, list_transform(w, lambda x, k: CASE WHEN k = 1 THEN NULL
              total + list_min(t.w)
       FROM t JOIN m ON m.i = list_position(t.w, list_min(t.w)) WHERE list_min(t.w) IS NOT NULL)
 SELECT max(step) - 1 AS n_edges, round(max(total), 6) AS total_weight FROM t"""
+
+#: Spanning tree of each setting's topics by adding the nearest topic one at a time (state as in `mst_edges`),
+#: then the parts held by distances up to the k-th heaviest tree edge.
+ORACLE["topic_hierarchy"] = f"""WITH RECURSIVE sim AS MATERIALIZED (SELECT min_cluster_size AS s, topic_a, topic_b, greatest(0.0, 1 - similarity) AS w
+  FROM ({ORACLE["topic_similarity"].replace(_r('coalesce(dot, 0.0) / (na.n * nb.n)'), 'coalesce(dot, 0.0) / (na.n * nb.n)')}) WHERE topic_a <> -1 AND topic_b <> -1),
+m AS MATERIALIZED (SELECT s, topic_a AS topic, row_number() OVER (PARTITION BY s ORDER BY topic_a) AS i, list(w ORDER BY topic_b) AS w FROM sim GROUP BY s, topic_a),
+t AS (SELECT s, list_transform(w, lambda x, k: CASE WHEN k = 1 THEN NULL ELSE x END) AS w, NULL::DOUBLE AS e FROM m WHERE i = 1
+      UNION ALL
+      SELECT t.s, list_transform(list_zip(t.w, m.w), lambda z, k: CASE WHEN k = m.i OR z[1] IS NULL THEN NULL ELSE least(z[1], z[2]) END), list_min(t.w)
+      FROM t JOIN m ON m.s = t.s AND m.i = list_position(t.w, list_min(t.w)) WHERE list_min(t.w) IS NOT NULL),
+k AS (SELECT min_cluster_size AS s, coalesce(n_groups, 1) AS k FROM ({ORACLE["heatmap_k"]})),
+x AS (SELECT s, e, row_number() OVER (PARTITION BY s ORDER BY e DESC) AS r FROM t WHERE e IS NOT NULL),
+cut AS (SELECT k.s, coalesce(max(CASE WHEN r = k THEN e END), -1.0) AS lim FROM k LEFT JOIN x ON x.s = k.s GROUP BY k.s),
+l AS (SELECT sim.s, topic_a, topic_b FROM sim JOIN cut ON cut.s = sim.s WHERE w <= lim + 1e-12 OR topic_a = topic_b),
+r AS (SELECT s, topic, topic AS o FROM m UNION SELECT r.s, r.topic, l.topic_b FROM r JOIN l ON l.s = r.s AND l.topic_a = r.o),
+f AS (SELECT s, topic, min(o) AS first FROM r GROUP BY s, topic)
+SELECT s AS min_cluster_size, topic, CAST(dense_rank() OVER (PARTITION BY s ORDER BY first) - 1 AS INTEGER) AS "group" FROM f"""

@@ -8,10 +8,13 @@ scratch folder when the setting is absent (local runs).
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import itertools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 _TABLES = itertools.count()
+#: Tables of this application that nobody has dropped yet: path -> session.
+_KEPT: dict[str, SparkSession] = {}
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -63,13 +68,67 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Survives executor loss like a reliable checkpoint, and the re-read plan
     carries the real file sizes as statistics (a checkpointed Dataset keeps
     the size estimate of the plan it replaced, and products of such estimates
-    compound over iterative jobs).
+    compound over iterative jobs).  The table lives until `drop_table`,
+    the end of its `workspace`, or the end of the application.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/tables/t{next(_TABLES):06d}-{uuid.uuid4().hex[:8]}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    _KEPT[path] = spark
+    out = spark.read.parquet(path)
+    out._docsift_table = path
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _KEPT.pop(path, None)
+    if spark is None:
+        return
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_table(*tables: DataFrame | None) -> None:
+    """Delete tables of `cut_lineage` that no plan reads any more (others and None are left alone)."""
+    for t in tables:
+        path = getattr(t, "_docsift_table", None)
+        if path:
+            _delete(path)
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[str, Callable[[], DataFrame]], DataFrame]]:
+    """Named tables with a life time: `with workspace(spark) as shared: terms = shared("terms", build)`.
+
+    The first call for a name builds and writes the table, later calls read
+    it; on leaving the block these tables, and all that were written inside it,
+    are deleted.  Results must be written or collected inside the block.
+    """
+    before = set(_KEPT)
+    named: dict[str, DataFrame] = {}
+
+    def shared(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in named:
+            named[name] = cut_lineage(build())
+        return named[name]
+
+    try:
+        yield shared
+    finally:
+        for path in [p for p in _KEPT if p not in before]:
+            _delete(path)
+
+
+@atexit.register
+def release() -> None:
+    """Delete every table this application still has (called when the driver's Python ends)."""
+    for path in list(_KEPT):
+        try:
+            _delete(path)
+        except Exception:  # the JVM is gone; the folder goes with the cluster's own clean-up
+            _KEPT.pop(path, None)
 
 
 _SHIPPED: set[str] = set()

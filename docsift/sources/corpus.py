@@ -18,6 +18,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out to all cores by `key` where the scan has fewer partitions than cores.
+
+    One file of one row group is one task however many cores wait.  Large
+    inputs have more partitions than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.select(key).rdd.getNumPartitions() < cores else df
+
+
 def resolve_columns(df: DataFrame, *wanted: str) -> dict[str, str]:
     """Case-insensitive lookup of required columns; error naming what is missing."""
     lower = {c.lower(): c for c in df.columns}
@@ -92,7 +102,7 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = text before the first newline, abstract = the rest (NULL when the
     text has no newline).  `lang` and `source` are kept as document classes.
     """
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
     text = F.col("text")
     nl = F.instr(text, "\n")
     return d.select(
