@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from docsift.functions.text import (
     STOPWORD_SET, clean_text, join_text, tokens_alnum, tokens_coherence, tokens_prefilter,
     tokens_whitespace)
+from docsift.session import cut_lineage
 
 TOTAL_TITLE = "__TOTAL__"
 
@@ -94,17 +95,11 @@ def word_counts(clean: DataFrame, text: str = "title_abstract", stopwords=STOPWO
     if not with_total:
         return per_doc.withColumn("Pct_Removed", _pct_removed(F.col("Words_Before"),
                                                               F.col("Words_After")))
-    # per-document rows and the grand total in one pass over the text: grouping sets
-    # ((DocIndex, Title), ()) instead of a union that would tokenise everything twice
-    g = per_doc.groupingSets([["DocIndex", "Title"], []], "DocIndex", "Title").agg(
-        F.sum("Words_Before").alias("Words_Before"), F.sum("Words_After").alias("Words_After"),
-        F.grouping_id().alias("_gid"))
-    total = F.col("_gid") > 0
-    out = g.select(F.when(total, F.lit(None)).otherwise(F.col("DocIndex")).cast("long").alias("DocIndex"),
-                   F.when(total, F.lit(TOTAL_TITLE)).otherwise(F.col("Title")).alias("Title"),
-                   F.coalesce("Words_Before", F.lit(0)).cast("long").alias("Words_Before"),
-                   F.coalesce("Words_After", F.lit(0)).cast("long").alias("Words_After"))
-    return out.withColumn("Pct_Removed", _pct_removed(F.col("Words_Before"), F.col("Words_After")))
+    # written once, so that the total adds up two numbers a row instead of tokenising again
+    rows = cut_lineage(per_doc)
+    total = rows.agg(F.lit(None).cast("long").alias("DocIndex"), F.lit(TOTAL_TITLE).alias("Title"), *(
+        F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("Words_Before", "Words_After")))
+    return rows.unionByName(total).withColumn("Pct_Removed", _pct_removed(F.col("Words_Before"), F.col("Words_After")))
 
 
 def default_subword_count(tokens) -> "F.Column":

@@ -23,15 +23,16 @@ def _k(keys) -> list[str]:
 def topic_ids(labels: DataFrame, keys=(), label: str = "cluster") -> DataFrame:
     """Renumber clusters into topics by size: 0 = largest, ties by cluster id; noise stays -1.
 
-    Only the per-cluster size table (one row per cluster) is ranked; the
-    documents are joined back to it.
+    Only the per-cluster size table (one row per cluster) is ranked, by range
+    partitions, so many clusters are no task's burden; the documents are joined
+    back to it.
     """
+    from docsift.operators.ranks import rank_within
     keys = _k(keys)
     sizes = (labels.filter(F.col(label) != NOISE).groupBy(*keys, label)
              .agg(F.count(F.lit(1)).alias("_n")))
-    w = Window.partitionBy(*keys).orderBy(F.col("_n").desc(), F.col(label)) if keys else \
-        Window.orderBy(F.col("_n").desc(), F.col(label))
-    ids = sizes.withColumn("topic", (F.row_number().over(w) - 1).cast("int")).drop("_n")
+    ids = rank_within(sizes, keys, [F.col("_n").desc(), F.col(label)], "topic").withColumn(
+        "topic", F.col("topic").cast("int")).drop("_n")
     return (labels.join(ids, keys + [label], "left")
             .withColumn("topic", F.coalesce(F.col("topic"), F.lit(NOISE)).cast("int")))
 

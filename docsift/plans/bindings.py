@@ -65,3 +65,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"),
         F.col("label").cast("int").alias("cluster"))
+
+
+#: Per setting, labels of the vectors are merged to label % groups: coarser clusters for larger settings.
+VECTOR_GROUPS = {5: 10, 10: 7, 20: 4, 30: 2}
+
+
+def vector_labels_by_setting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, min_cluster_size, cluster) of all vectors at all settings; -1 stays noise."""
+    pairs = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(k).alias("k")) for m, k in VECTOR_GROUPS.items()))
+    return vectors(spark, sf_dir).select("doc_id", "cluster", F.explode(pairs).alias("x")).select(
+        "doc_id", F.col("x.m").alias("min_cluster_size"),
+        F.when(F.col("cluster") == -1, -1).otherwise(F.col("cluster") % F.col("x.k")).alias("cluster"))

@@ -7,6 +7,7 @@ CTE fragments built from the same fixed values the library uses.
 
 from __future__ import annotations
 
+from docsift.plans.bindings import VECTOR_GROUPS
 from docsift.functions.text import STOPWORD_SET, WHITESPACE_CLASS
 
 WS = WHITESPACE_CLASS
@@ -443,11 +444,6 @@ ORACLE.update({
     "preview": f"WITH {TOPIC} SELECT * FROM info ORDER BY min_cluster_size, topic LIMIT 10",
     "numeric_labels": f"WITH {TOPIC} SELECT DISTINCT min_cluster_size, topic, CAST(topic AS VARCHAR) AS label FROM assign",
 })
-ORACLE["eval_summary"] = (
-    "WITH sm AS (" + ORACLE["size_metrics"] + "), pc AS (" + ORACLE["pac"] + "), ch AS ("
-    + ORACLE["coherence_summary"] + ") SELECT * FROM sm LEFT JOIN pc USING (min_cluster_size) "
-    "LEFT JOIN ch USING (min_cluster_size)")
-
 ORACLE["knn_ivf"] = ORACLE["knn_exact"]
 
 #: Spanning tree of mutual reachability (Euclidean, m = 5) by adding the nearest point one at a time:
@@ -480,3 +476,49 @@ l AS (SELECT sim.s, topic_a, topic_b FROM sim JOIN cut ON cut.s = sim.s WHERE w
 r AS (SELECT s, topic, topic AS o FROM m UNION SELECT r.s, r.topic, l.topic_b FROM r JOIN l ON l.s = r.s AND l.topic_a = r.o),
 f AS (SELECT s, topic, min(o) AS first FROM r GROUP BY s, topic)
 SELECT s AS min_cluster_size, topic, CAST(dense_rank() OVER (PARTITION BY s ORDER BY first) - 1 AS INTEGER) AS "group" FROM f"""
+
+
+#: DBCV by cluster (s, c): tree edges by adding the nearest point one at a time, with each point's nearest tree point.
+_DBCV = """WITH RECURSIVE lab AS ({labels}),
+pts AS MATERIALIZED (SELECT s, c, v, row_number() OVER (PARTITION BY s, c ORDER BY doc_id) AS i FROM lab WHERE c <> -1),
+n AS (SELECT s, c, count(*) AS n FROM pts GROUP BY s, c),
+d AS MATERIALIZED (SELECT a.s, a.c, a.i, b.i AS j, greatest(least(1 - list_cosine_similarity(a.v, b.v), 2.0), 0.0) AS d FROM pts a JOIN pts b ON a.s = b.s AND a.c = b.c),
+x AS (SELECT s, c, i, -len(v) * ln(d) AS t FROM d JOIN pts USING (s, c, i) WHERE i <> j AND d > 1e-12),
+y AS (SELECT s, c, i, m + ln(sum(exp(t - m))) AS lse FROM (SELECT *, max(t) OVER (PARTITION BY s, c, i) AS m FROM x) GROUP BY s, c, i, m),
+core AS MATERIALIZED (SELECT s, c, i, v, coalesce(exp(-(lse - ln(n - 1)) / len(v)), 0.0) AS core FROM pts JOIN n USING (s, c) LEFT JOIN y USING (s, c, i)),
+m AS MATERIALIZED (SELECT d.s, d.c, d.i, list(greatest(CASE WHEN d.i = d.j THEN 0.0 ELSE d END, a.core, b.core) ORDER BY d.j) AS w
+  FROM d JOIN core a ON a.s = d.s AND a.c = d.c AND a.i = d.i JOIN core b ON b.s = d.s AND b.c = d.c AND b.i = d.j GROUP BY d.s, d.c, d.i),
+t AS (SELECT s, c, list_transform(w, lambda x, k: CASE WHEN k = 1 THEN NULL ELSE {{'w': x, 'lo': 1::BIGINT, 'hi': k::BIGINT, 'at': k::BIGINT}} END) AS w,
+      NULL::BIGINT AS u, NULL::BIGINT AS o, NULL::DOUBLE AS e FROM m WHERE i = 1
+  UNION ALL
+  SELECT t.s, t.c, list_transform(list_zip(t.w, m.w), lambda z, k: CASE WHEN k = m.i OR z[1] IS NULL THEN NULL ELSE
+      least(z[1], {{'w': z[2], 'lo': least(k, m.i)::BIGINT, 'hi': greatest(k, m.i)::BIGINT, 'at': k::BIGINT}}) END), list_min(t.w).lo, list_min(t.w).hi, list_min(t.w).w
+  FROM t JOIN m ON m.s = t.s AND m.c = t.c AND m.i = list_min(t.w).at WHERE list_min(t.w) IS NOT NULL),
+tree AS MATERIALIZED (SELECT s, c, u, o, e FROM t WHERE e IS NOT NULL),
+inn AS MATERIALIZED (SELECT s, c, i FROM (SELECT s, c, u AS i FROM tree UNION ALL SELECT s, c, o FROM tree) GROUP BY s, c, i HAVING count(*) > 1),
+dsc AS (SELECT tree.s, tree.c, coalesce(max(CASE WHEN a.i IS NOT NULL AND b.i IS NOT NULL THEN e END), max(e)) AS dsc
+  FROM tree LEFT JOIN inn a ON a.s = tree.s AND a.c = tree.c AND a.i = u LEFT JOIN inn b ON b.s = tree.s AND b.c = tree.c AND b.i = o GROUP BY tree.s, tree.c),
+nodes AS (SELECT core.* FROM core LEFT JOIN inn USING (s, c, i) WHERE inn.i IS NOT NULL OR NOT EXISTS (SELECT 1 FROM inn q WHERE q.s = core.s AND q.c = core.c)),
+sep AS (SELECT a.s, a.c, min(greatest(greatest(least(1 - list_cosine_similarity(a.v, b.v), 2.0), 0.0), a.core, b.core)) AS sep
+  FROM nodes a JOIN nodes b ON a.s = b.s AND a.c <> b.c GROUP BY a.s, a.c),
+g AS (SELECT s, sum(n * CASE WHEN greatest(sep, dsc) = 0 THEN 0.0 ELSE (sep - dsc) / greatest(sep, dsc) END) AS z FROM sep JOIN dsc USING (s, c) JOIN n USING (s, c) GROUP BY s)
+SELECT lab.s, round(CASE WHEN count(DISTINCT CASE WHEN c <> -1 THEN c END) >= 2 THEN coalesce(any_value(z), 0.0) / count(*) END, 6) AS DBCV FROM lab LEFT JOIN g ON g.s = lab.s GROUP BY lab.s"""
+_VECTOR_LABELS = " UNION ALL ".join(
+    f"SELECT {m} AS s, vec_id AS doc_id, CASE WHEN label = -1 THEN -1 ELSE label % {k} END AS c, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
+    for m, k in VECTOR_GROUPS.items())
+ORACLE["dbcv_sweep"] = ("SELECT s AS min_cluster_size, DBCV FROM (" + _DBCV.format(labels=_VECTOR_LABELS) + ")")
+ORACLE["dbcv"] = ("SELECT DBCV FROM (" + _DBCV.format(
+    labels="SELECT 0 AS s, vec_id AS doc_id, label AS c, CAST(embedding AS DOUBLE[]) AS v FROM embeddings") + ")")
+
+
+def _at_setting(m: int, k: int) -> str:
+    rows = f"(SELECT vec_id, embedding, CASE WHEN label = -1 THEN -1 ELSE label % {k} END AS label FROM embeddings)"
+    one = [f"({ORACLE[q].replace('FROM embeddings', f'FROM {rows}')})"
+           for q in ("silhouette_cosine", "davies_bouldin", "calinski_harabasz")]
+    return f"SELECT {m} AS min_cluster_size, * FROM {one[0]}, {one[1]}, {one[2]}"
+
+
+ORACLE["separation_sweep"] = " UNION ALL ".join(_at_setting(m, k) for m, k in VECTOR_GROUPS.items())
+_PARTS = ("size_metrics", "pac", "coherence_summary", "separation_sweep", "dbcv_sweep")
+ORACLE["eval_summary"] = "WITH " + ", ".join(f"s_{q} AS ({ORACLE[q]})" for q in _PARTS) + (
+    " SELECT * FROM s_size_metrics " + " ".join(f"LEFT JOIN s_{q} USING (min_cluster_size)" for q in _PARTS[1:]))

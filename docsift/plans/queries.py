@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType, FloatType
 from docsift.operators import corpus as B
 from docsift.operators import tokens as C
 from docsift.plans import bindings as bind
+from docsift.session import cut_lineage
 from docsift.sources.corpus import documents_corpus
 
 
@@ -94,16 +95,21 @@ KEYS = ["min_cluster_size"]
 
 
 def _topic_model(spark, sf):
+    """(clean, assignments, terms, c-TF-IDF, topic words); what several later steps read is a table."""
     clean = bind.clean_documents(spark, sf)
-    assign = T.topic_ids(bind.labels_by_setting(clean), KEYS)
+    assign = cut_lineage(T.topic_ids(bind.labels_by_setting(clean), KEYS))
     dtf = _dtf(clean)
-    ct = T.ctfidf(assign, dtf, KEYS)
+    ct = cut_lineage(T.ctfidf(assign, dtf, KEYS))
     words = T.topic_words(ct, 10, KEYS)
     return clean, assign, dtf, ct, words
 
 
+def _assign(spark, sf):
+    return T.topic_ids(bind.labels_by_setting(bind.clean_documents(spark, sf)), KEYS)
+
+
 def q_topic_ids(spark, sf):
-    return _topic_model(spark, sf)[1]
+    return _assign(spark, sf)
 
 
 def q_ctfidf(spark, sf):
@@ -120,17 +126,17 @@ def q_topic_info(spark, sf):
 
 
 def q_topic_freq(spark, sf):
-    return T.topic_freq(_topic_model(spark, sf)[1], KEYS)
+    return T.topic_freq(_assign(spark, sf), KEYS)
 
 
 def q_doc_assignments(spark, sf):
-    clean, assign, *_ = _topic_model(spark, sf)
-    return T.doc_assignments(assign, clean, KEYS)
+    clean = bind.clean_documents(spark, sf)
+    return T.doc_assignments(_assign(spark, sf), clean, KEYS)
 
 
 def q_titles_report(spark, sf):
-    clean, assign, *_ = _topic_model(spark, sf)
-    return T.titles_report(assign, clean, KEYS)
+    clean = bind.clean_documents(spark, sf)
+    return T.titles_report(_assign(spark, sf), clean, KEYS)
 
 
 def q_representative_docs(spark, sf):
@@ -164,7 +170,7 @@ def q_label_changes(spark, sf):
 
 
 def q_topics_to_show(spark, sf):
-    return T.topics_to_show(_topic_model(spark, sf)[1], 17, KEYS)
+    return T.topics_to_show(_assign(spark, sf), 17, KEYS)
 
 
 def q_barchart_data(spark, sf):
@@ -176,7 +182,7 @@ def q_topic_similarity(spark, sf):
 
 
 def q_heatmap_k(spark, sf):
-    return T.heatmap_k(_topic_model(spark, sf)[1], keys=KEYS)
+    return T.heatmap_k(_assign(spark, sf), keys=KEYS)
 
 
 # --- coherence (H) ---------------------------------------------------------------------
@@ -184,7 +190,7 @@ def _coh(spark, sf):
     clean, assign, _, _, words = _topic_model(spark, sf)
     toks = C.coherence_tokens(clean)
     lists = H.topic_word_lists(words, 10, KEYS)
-    dv = H.doc_vocab(toks, lists, KEYS)
+    dv = cut_lineage(H.doc_vocab(toks, lists, KEYS))
     return clean, assign, words, toks, lists, dv
 
 
@@ -199,18 +205,18 @@ def q_pair_df(spark, sf):
 
 
 def q_npmi(spark, sf):
-    _, _, words, toks, _, _ = _coh(spark, sf)
-    return r6(H.npmi_umass(toks, words, 10, KEYS).select(*KEYS, "topic", "npmi"))
+    _, _, words, toks, _, dv = _coh(spark, sf)
+    return r6(H.npmi_umass(toks, words, 10, KEYS, dv, ("npmi",)))
 
 
 def q_umass(spark, sf):
-    _, _, words, toks, _, _ = _coh(spark, sf)
-    return r6(H.npmi_umass(toks, words, 10, KEYS).select(*KEYS, "topic", "umass"))
+    _, _, words, toks, _, dv = _coh(spark, sf)
+    return r6(H.npmi_umass(toks, words, 10, KEYS, dv, ("umass",)))
 
 
 def q_coherence_summary(spark, sf):
-    _, assign, words, toks, _, _ = _coh(spark, sf)
-    per = H.npmi_umass(toks, words, 10, KEYS)
+    _, assign, words, toks, _, dv = _coh(spark, sf)
+    per = H.npmi_umass(toks, words, 10, KEYS, dv)
     return r6(H.coherence_summary(per, assign, KEYS))
 
 
@@ -394,6 +400,19 @@ def q_dbcv(spark, sf):
     return r6(Va.dbcv(lab, vec, metric="cosine"))
 
 
+def q_dbcv_sweep(spark, sf):
+    return r6(Va.dbcv(bind.vector_labels_by_setting(spark, sf), _vec(spark, sf)[1], metric="cosine", keys=KEYS))
+
+
+def q_separation_sweep(spark, sf):
+    """Silhouette, Davies-Bouldin and Calinski-Harabasz of every setting."""
+    lab, vec = bind.vector_labels_by_setting(spark, sf), _vec(spark, sf)[1]
+    out = G.silhouette_cosine(lab, vec, keys=KEYS)
+    for metric in (G.davies_bouldin, G.calinski_harabasz):
+        out = out.join(metric(lab, vec, keys=KEYS), KEYS)
+    return r6(out)
+
+
 def q_fuzzy_graph(spark, sf):
     return r6(V.fuzzy_graph(Kn.knn_exact(_vecs(spark, sf), 15, "cosine")))
 
@@ -412,12 +431,12 @@ def _doc_coords(spark, sf, clean):
 
 
 def q_document_map(spark, sf):
-    clean, assign, *_ = _topic_model(spark, sf)
+    clean, assign = bind.clean_documents(spark, sf), _assign(spark, sf)
     return r6(T.document_map(assign, clean, _doc_coords(spark, sf, clean), KEYS))
 
 
 def q_datamap(spark, sf):
-    clean, assign, _, _, words = _topic_model(spark, sf)
+    clean, assign = bind.clean_documents(spark, sf), _assign(spark, sf)
     labels = T.numeric_labels(assign, KEYS)
     return r6(T.datamap_data(assign, clean, _doc_coords(spark, sf, clean), labels, 17, KEYS))
 
@@ -428,18 +447,19 @@ def q_preview(spark, sf):
 
 
 def q_numeric_labels(spark, sf):
-    return T.numeric_labels(_topic_model(spark, sf)[1], KEYS)
+    return T.numeric_labels(_assign(spark, sf), KEYS)
 
 
 def q_eval_summary(spark, sf):
-    """Per-setting summary: size metrics, consensus PAC and coherence joined on the setting."""
+    """Per-setting summary: sizes, consensus PAC, coherence, separation and DBCV joined on the setting."""
     clean = bind.clean_documents(spark, sf)
     sizes = G.size_metrics(bind.labels_by_setting(clean), KEYS)
     rl = _runs(spark, sf)
     p = G.pac(G.consensus_histogram(rl, KEYS, runs=8), rl, KEYS)
-    _, assign, words, toks, _, _ = _coh(spark, sf)
-    coh = H.coherence_summary(H.npmi_umass(toks, words, 10, KEYS), assign, KEYS)
-    return r6(sizes.join(p, KEYS, "left").join(coh, KEYS, "left"))
+    _, assign, words, toks, _, dv = _coh(spark, sf)
+    coh = H.coherence_summary(H.npmi_umass(toks, words, 10, KEYS, dv), assign, KEYS)
+    out = sizes.join(p, KEYS, "left").join(coh, KEYS, "left")
+    return r6(out.join(q_separation_sweep(spark, sf), KEYS, "left").join(q_dbcv_sweep(spark, sf), KEYS, "left"))
 
 
 def q_fit_topics(spark, sf):
@@ -453,7 +473,8 @@ def q_fit_topics(spark, sf):
 
 
 QUERIES.update({
-    "topic_hierarchy": q_topic_hierarchy, "dbcv": q_dbcv, "fuzzy_graph": q_fuzzy_graph,
+    "topic_hierarchy": q_topic_hierarchy, "dbcv": q_dbcv,
+    "dbcv_sweep": q_dbcv_sweep, "separation_sweep": q_separation_sweep, "fuzzy_graph": q_fuzzy_graph,
     "rerank_words": q_rerank_words, "document_map": q_document_map, "datamap": q_datamap,
     "preview": q_preview, "numeric_labels": q_numeric_labels, "eval_summary": q_eval_summary,
     "fit_topics": q_fit_topics,
