@@ -133,6 +133,17 @@ def token_audit(clean: DataFrame, limits=(384, 512),
     return out
 
 
+def truncate_tokens(clean: DataFrame, limit: int = 512, text: str = "title_abstract") -> DataFrame:
+    """(doc_id, n_tokens, n_kept, text): the first `limit` white-space tokens, as an encoder with that limit reads.
+
+    Opt-in: nothing else in the library cuts texts.
+    """
+    rows = clean.select("doc_id", tokens_whitespace(text).alias("_t"))
+    return rows.select("doc_id", F.size("_t").cast("long").alias("n_tokens"),
+                       F.least(F.size("_t"), F.lit(limit)).cast("long").alias("n_kept"),
+                       F.array_join(F.slice("_t", 1, limit), " ").alias("text"))
+
+
 def token_distribution(audit: DataFrame, limits=(384, 512)) -> DataFrame:
     """Corpus distribution of the audit: n, min/median/max tokens and share over each limit."""
     aggs = [F.count(F.lit(1)).alias("n_docs"),

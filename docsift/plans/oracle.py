@@ -522,3 +522,8 @@ ORACLE["separation_sweep"] = " UNION ALL ".join(_at_setting(m, k) for m, k in VE
 _PARTS = ("size_metrics", "pac", "coherence_summary", "separation_sweep", "dbcv_sweep")
 ORACLE["eval_summary"] = "WITH " + ", ".join(f"s_{q} AS ({ORACLE[q]})" for q in _PARTS) + (
     " SELECT * FROM s_size_metrics " + " ".join(f"LEFT JOIN s_{q} USING (min_cluster_size)" for q in _PARTS[1:]))
+
+ORACLE["truncate_tokens"] = f"""WITH {CLEAN},
+t AS (SELECT doc_id, list_filter(string_split_regex(title_abstract, '{WS}+'), lambda x: x <> '') AS t FROM clean)
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(least(len(t), 512) AS BIGINT) AS n_kept,
+       array_to_string(t[1:512], ' ') AS text FROM t"""

@@ -60,6 +60,10 @@ def q_token_audit(spark, sf):
     return C.token_audit(bind.clean_documents(spark, sf))
 
 
+def q_truncate_tokens(spark, sf):
+    return C.truncate_tokens(bind.clean_documents(spark, sf), 512)
+
+
 def q_token_distribution(spark, sf):
     return r6(C.token_distribution(C.token_audit(bind.clean_documents(spark, sf))))
 
@@ -81,6 +85,7 @@ QUERIES = {
     "word_counts": q_word_counts,
     "token_audit": q_token_audit,
     "token_distribution": q_token_distribution,
+    "truncate_tokens": q_truncate_tokens,
     "coherence_tokens": q_coherence_tokens,
 }
 
@@ -482,8 +487,8 @@ QUERIES.update({
 
 
 def q_bootstrap_pac(spark, sf):
-    """Bootstrap draws re-clustered at every setting (runs and settings as group keys), then PAC."""
-    bl = Dn.bootstrap_labels(_reduced(spark, sf), SWEEP, runs=8)
+    """Bootstrap draws, each projected anew and re-clustered at every setting (runs and settings as keys), then PAC."""
+    bl = Dn.bootstrap_labels(_vecs(spark, sf), SWEEP, runs=8, refit_dims=5)
     bl = Dn._ckpt(bl)
     return r6(G.pac(G.consensus_histogram(bl, KEYS, runs=8), bl, KEYS))
 

@@ -81,15 +81,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
-def _delete(path: str) -> None:
-    spark = _KEPT.pop(path, None)
-    if spark is None:
-        return
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark's file systems reach it."""
     sc = spark.sparkContext
     where = sc._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _delete(path: str) -> None:
+    spark = _KEPT.pop(path, None)
+    if spark is not None:
+        delete_path(spark, path)
+
+
 def drop_table(*tables: DataFrame | None) -> None:
     """Delete tables of `cut_lineage` that no plan reads any more (others and None are left alone)."""
     for t in tables:

@@ -7,10 +7,16 @@ request); the driver only issues the write.
 from __future__ import annotations
 
 import os
+import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsift.session import delete_path
+
 MODEL_TABLES = ("assignments", "ctfidf", "topic_words", "topic_info", "clusters")
 
 
@@ -65,24 +71,56 @@ def load_vectors(spark: SparkSession, path: str, docs: DataFrame | None = None)
 
 
 def save_topic_model(path: str, **tables: DataFrame) -> None:
-    """A topic model = its tables (assignments, ctfidf, words, info, clusters) under one folder."""
-    for name, df in tables.items():
-        if name not in MODEL_TABLES:
-            raise ValueError(f"unknown model table {name}")
-        write_table(df, os.path.join(path, name))
-
+    """A topic model = its tables (assignments, ctfidf, words, info, clusters) under one folder.
 
-def load_topic_model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Load what exists; a caller refits when a table is missing (raises FileNotFoundError)."""
-    out = {}
-    for name in MODEL_TABLES:
-        p = os.path.join(path, name)
+    Tables go to a new version folder; the manifest that names it, with each
+    table's rows, is written last.  Until then readers see the version before,
+    and afterwards that one is deleted.
+    """
+    unknown = set(tables) - set(MODEL_TABLES)
+    if unknown or not tables:
+        raise ValueError(f"unknown model tables {sorted(unknown)}" if unknown else "no model tables")
+    spark = next(iter(tables.values())).sparkSession
+    old = _manifest(spark, path)
+    version = f"v-{uuid.uuid4().hex[:12]}"
+    rows = []
+    for name, df in tables.items():
+        at = os.path.join(path, version, name)
+        write_table(df, at)
+        rows.append((name, version, spark.read.parquet(at).count()))
+    manifest = spark.createDataFrame(rows, "name string, version string, rows long").coalesce(1)
+    manifest.write.mode("overwrite").json(os.path.join(path, "manifest"))
+    for gone in {v for v, _ in old.values()} - {version}:
+        delete_path(spark, os.path.join(path, gone))
+
+
+def _manifest(spark: SparkSession, path: str) -> dict[str, tuple[str, int]]:
+    """{table: (version, rows)} of a complete save, else empty."""
+    try:
+        rows = spark.read.schema("name string, version string, rows long").json(os.path.join(path, "manifest")).collect()
+    except AnalysisException:                             # no manifest: never saved, or stopped before its end
+        return {}
+    return {r["name"]: (r["version"], r["rows"]) for r in rows}
+
+
+def load_topic_model(spark: SparkSession, path: str,
+                     refit: Callable[[], dict[str, DataFrame]] | None = None) -> dict[str, DataFrame]:
+    """The tables of a complete save; every table the manifest names must be there with all its rows.
+
+    A missing or incomplete model is fitted anew and saved if `refit` (returning
+    the tables by name) is given, else FileNotFoundError.
+    """
+    out, manifest = {}, _manifest(spark, path)
+    whole = bool(manifest)
+    for name, (version, n) in manifest.items():
         try:
-            out[name] = spark.read.parquet(p)
-        except Exception as e:  # noqa: BLE001 - Spark raises AnalysisException for a missing path
-            if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-                continue
-            raise
-    if not out:
-        raise FileNotFoundError(f"no topic model under {path}")
-    return out
+            out[name] = spark.read.parquet(os.path.join(path, version, name))
+            whole = whole and out[name].count() == n
+        except (PySparkException, Py4JJavaError):         # missing, or cut short on its way to disk
+            whole = False
+    if whole:
+        return out
+    if refit is None:
+        raise FileNotFoundError(f"no complete topic model under {path}")
+    save_topic_model(path, **refit())
+    return load_topic_model(spark, path)
