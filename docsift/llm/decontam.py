@@ -1,8 +1,10 @@
 """Benchmark decontamination by broadcast word windows (DataFrame functions only).
 
-The test items' normalised windows are the broadcast side of a hash join; each
-training text is cut into blocks of words that overlap by a window, blocks into
-windows, and the join's string equality is the exact verification of a hit.
+The test items' normalised windows are a hash set that is broadcast with the
+plan, keyed by the hash of their first words; each training text is cut into
+blocks of words that overlap by a window, every place of a block is looked up,
+and where the set has it the whole window is joined to the items', whose string
+equality is the exact verification of a hit.
 """
 
 from __future__ import annotations
@@ -18,8 +20,11 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before lower-casing.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, BLOCK = 10, 1000
-#: Item windows that are broadcast at most (about 100 bytes each); more are joined by shuffle.
-MAX_BROADCAST = 1_000_000
+#: Words hashed to find where a window may begin.
+OPENING = 3
+#: Openings in the row's hash set, and item windows that are broadcast (of at most WINDOW words each), at most;
+#: more are joined by shuffle.
+MAX_SET = 100_000
 
 
 def words(text: Column) -> Column:
@@ -47,27 +52,51 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return w.select("item_id", k.alias("k"), F.explode(_windows(F.col("w"), k)).alias("win")).distinct()
 
 
+def _opening(ws: Column, i: Column, p: int) -> Column:
+    """Hash of the p words from place i (0-based) on; past the end nulls, which only cost a look."""
+    return F.xxhash64(*(F.get(ws, i + j) for j in range(p)))
+
+
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK,
-         max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """(doc_id, at, k, win): every place (0-based word) where an item window occurs."""
-    keys = items.select("k", "win").distinct()
-    sizes = [(r.k, r.n) for r in keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()]  # <= window rows
-    small = sum(n for _, n in sizes) <= max_broadcast
-    texts = docs.select("doc_id", words(F.col("text")).alias("w")).filter("size(w) > 0")
+         max_set: int = MAX_SET) -> DataFrame:
+    """(doc_id, at, k, win): every place (0-based word) where an item window occurs.
+
+    A window is only written out where the hash of its first OPENING words is
+    among the items' (a hash set inside the row, of at most `max_set` longs;
+    with more items, a join by shuffle on that hash).  The join on the window's
+    string proves the hit; it is a broadcast in the first case.
+    """
+    spark = docs.sparkSession
+    keys = cut_lineage(items.select("k", "win").distinct())
+    sizes = sorted(r.k for r in keys.select("k").distinct().collect())              # <= window rows
     found = None
-    for k, _ in sorted(sizes):
-        # blocks are columns, not expressions: a lambda computes what it refers to for every element
-        blocks = texts.select("doc_id", F.explode(F.transform(
-            F.sequence(F.lit(0), F.size("w") - 1, F.lit(block)),
-            _block(block + k - 1))).alias("b"))
-        part = blocks.select("doc_id", F.col("b.base").alias("base"), _windows(F.col("b.ws"), k).alias("wins")).select(
-            "doc_id", "base", F.posexplode("wins").alias("i", "win"))
-        side = keys.filter(F.col("k") == k)
-        part = part.join(F.broadcast(side) if small else side, "win").select(
-            "doc_id", (F.col("base") + F.col("i")).alias("at"), "k", "win")
+    texts = docs.select("doc_id", words(F.col("text")).alias("w")).filter("size(w) > 0")
+    # blocks are columns, not expressions: a lambda computes what it refers to for every element
+    longest = max(sizes, default=1)
+    blocks = texts.select("doc_id", F.explode(F.transform(
+        F.sequence(F.lit(0), F.size("w") - 1, F.lit(block)), _block(block + longest - 1))).alias("b")).select(
+        "doc_id", F.col("b.base").alias("base"), F.col("b.ws").alias("ws"))
+    for p in sorted({min(k, OPENING) for k in sizes}):
+        ks = [k for k in sizes if min(k, OPENING) == p]
+        side = keys.filter(F.col("k").isin(ks))
+        opening = side.select(_opening(F.split("win", " "), F.lit(0), p).alias("h")).distinct()
+        known = [r.h for r in opening.limit(max_set + 1).collect()]
+        places = F.sequence(F.lit(0), F.least(F.size("ws"), F.lit(block)) - 1)
+        if len(known) <= max_set:
+            at = blocks.select("doc_id", "base", "ws", F.explode(F.filter(
+                places, lambda i: _opening(F.col("ws"), i, p).isin(known))).alias("i"))
+        else:
+            at = blocks.select("doc_id", "base", "ws", F.posexplode(F.transform(
+                places, lambda i: _opening(F.col("ws"), i, p))).alias("i", "h")).join(opening, "h").drop("h")
+        rows = at.select("doc_id", (F.col("base") + F.col("i")).alias("at"), F.explode(F.array(*(
+            F.when(F.col("i") + k <= F.size("ws"), F.struct(
+                F.lit(k).alias("k"), F.array_join(F.slice("ws", F.col("i") + 1, k), " ").alias("win")))
+            for k in ks))).alias("x")).filter("x IS NOT NULL").select("doc_id", "at", F.col("x.k").alias("k"),
+                                                                      F.col("x.win").alias("win"))
+        part = rows.join(F.broadcast(side) if side.count() <= max_set else side, ["k", "win"]).select(
+            "doc_id", "at", "k", "win")
         found = part if found is None else found.unionByName(part)
-    return found if found is not None else docs.sparkSession.createDataFrame(
-        [], "doc_id long, at int, k int, win string")
+    return found if found is not None else spark.createDataFrame([], "doc_id long, at int, k int, win string")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

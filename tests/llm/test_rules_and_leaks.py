@@ -86,3 +86,14 @@ def test_rules_without_labels_or_documents(spark):
     got = Q.quality_rules(df, labels).collect()
     assert len(got) == df.count() and all(r.kept != r.base_failed for r in got)
     assert Q.quality_rules(df.limit(0), labels.limit(0)).count() == 0
+
+
+def test_hits_by_shuffle_equal_hits_by_set(spark):
+    from docsift.llm import decontam
+    rows = corpus(9, 20) + [(700, "x one two, THREE four five six seven eight nine ten eleven y", "", ""),
+                            (701, "a Short-item short item", "", ""), (702, None, "", "")]
+    docs = decontam.documents(spark.createDataFrame(rows, ROWS))
+    items = decontam.item_windows(spark.createDataFrame([*ITEMS, (6, "x"), (7, rows[0][1])], "item_id long, text string"))
+    runs = [sorted(map(tuple, decontam.hits(docs, items, block=b, max_set=m).collect()))
+            for b, m in ((1000, 100_000), (7, 100_000), (1000, 0))]
+    assert runs[0] and runs[0] == runs[1] == runs[2]
