@@ -31,6 +31,10 @@ from pyspark.sql import functions as F
 from docsift.llm.words import U64, Prefix, Words, _BYTE, chunks, mix, sliding_argmin, text_buffers
 from docsift.session import cut_lineage
 
+#: Bytes of text hashed at a time: about a hundred bytes of arrays stand for each.
+CHUNK = 1 << 18
+#: Stands for a null doc_id between tasks; the least id there is.
+NO_ID = -(1 << 63)
 ANCHOR = ("doc_id long, pos int, lo int, hi int, gram long, ctx long, settled boolean")
 INTERVAL = "doc_id long, start int, end int"
 CONTEXT = "gram long, doc_id long, pos int, lo int, hi int, body binary"
@@ -104,7 +108,7 @@ def scan(docs: DataFrame, s: Scheme) -> DataFrame:
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             raw, off = text_buffers(b.column("text"))
-            for i, j in chunks(off):
+            for i, j in chunks(off, CHUNK):
                 prefix, first, _ = _units(raw, off, i, j, s.words)
                 got = _anchors(prefix, first, s)
                 if got is not None and len(got[0]):
@@ -172,7 +176,7 @@ def contexts(docs: DataFrame, rep: DataFrame, s: Scheme) -> DataFrame:
             places = b.column("places")
             flat, po = places.flatten(), np.r_[0, np.cumsum([len(x) for x in places])]
             f = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("pos", "lo", "hi", "gram", "hot")}
-            for i, j in chunks(off):
+            for i, j in chunks(off, CHUNK):
                 _, first, u = _units(raw, off, i, j, s.words) if s.words else (None, off[i:j + 1] - off[i],
                                                                                raw[off[i]:off[j]])
                 sel = slice(po[i], po[j])
@@ -296,6 +300,11 @@ _TYPES = {"long": ("long", pa.int64()), "binary": ("binary", pa.binary()),
           "spans": ("array<int>", pa.list_(pa.int32()))}
 
 
+def coded(docs: DataFrame) -> DataFrame:
+    """Null ids as NO_ID, so that ids stay integers in Arrow batches."""
+    return docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+
+
 def digest(docs: DataFrame, found: DataFrame, fn, columns: dict[str, str]) -> DataFrame:
     """One row per document: doc_id and what fn(text bytes, merged runs) returns as `columns`."""
     per = found.groupBy(F.col("doc_id").alias("d")).agg(
@@ -306,7 +315,7 @@ def digest(docs: DataFrame, found: DataFrame, fn, columns: dict[str, str]) -> Da
         for b in batches:
             ids, spans = b.column("doc_id"), b.column("spans")
             raw, off = text_buffers(b.column("text"))
-            for i, j in chunks(off, 8 << 20):
+            for i, j in chunks(off, 4 * CHUNK):
                 rows = []
                 for r in range(i, j):
                     sp = spans[r].values if spans[r].is_valid else ()
@@ -317,4 +326,4 @@ def digest(docs: DataFrame, found: DataFrame, fn, columns: dict[str, str]) -> Da
 
     schema = ", ".join(["doc_id long", *(f"{n} {k[0]}" for n, k in zip(columns, kinds))])
     joined = docs.join(per, docs.doc_id.eqNullSafe(per.d), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from docsift.llm.repeats import Scheme, body_buffers, digest, intervals
+from docsift.llm.repeats import Scheme, body_buffers, coded, digest, intervals
 from docsift.llm.tables import documents
 from docsift.llm.words import Words
 
@@ -66,10 +66,10 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRA
     Returns (doc_id, kept binary: kept words joined by one space, n_words,
     n_removed, spans: flat word bounds of the removed runs).  Null and empty
     texts have no words; repeats inside one document stay; rows with equal
-    doc_id count as one document.
+    doc_id count as one document.  A null doc_id is the least id.
     """
     s = Scheme(min_words, gram, words=True, earlier=True, group_rows=group_rows)
-    docs = documents(docs)
+    docs = coded(documents(docs))
 
     def row(text: bytes, runs):
         words = text.split()

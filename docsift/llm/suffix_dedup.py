@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from docsift.llm.repeats import Scheme, digest, intervals
+from docsift.llm.repeats import Scheme, coded, digest, intervals
 from docsift.llm.tables import documents
 
 #: 200-byte windows, anchors of 32 bytes: one position in about 85 is an anchor.
@@ -103,10 +103,11 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM,
     Returns (doc_id, kept binary, n_bytes, n_removed, n_spans, spans): spans are
     flat [start, end, start, end, ...] byte bounds of the maximal removed runs.
     Null and empty texts give an empty `kept`; copies (equal doc_id included)
-    remove each other; strings never cross texts; ties do not arise.
+    remove each other; strings never cross texts; ties do not arise.  A null doc_id
+    is an id like others.
     """
     s = Scheme(min_bytes, gram, words=False, earlier=False, group_rows=group_rows)
-    docs = documents(docs)
+    docs = coded(documents(docs))
 
     def row(text: bytes, runs):
         kept, at = [], 0

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -79,3 +80,20 @@ def test_interval_tree():
     assert sorted(lcp_intervals(__import__("numpy").array([1, 2, 2]))) == [(1, 0, 3), (2, 1, 3)]
 
 
+
+
+def test_null_ids_and_long_texts(spark):
+    from docsift.llm.substring_dedup import substring_dedup
+    from docsift.llm.suffix_dedup import suffix_dedup
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(60))
+    long = " ".join(word() for _ in range(150_000))                       # 900 KB, more than a chunk
+    rows = [(None, "x " + passage), (2**60 + 1, "y " + passage), (2**60 + 3, long + " " + passage + " " + long[:3000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_dedup(df).collect()}
+    assert set(got) == {None, 2**60 + 1, 2**60 + 3}
+    assert bytes(got[None].kept) == b"x" and bytes(got[2**60 + 1].kept) == b"y"      # " " + passage repeats everywhere
+    assert got[2**60 + 3].n_removed >= len(passage) + 6000
+    words = {r.doc_id: r for r in substring_dedup(df).collect()}
+    assert {k: r.n_removed for k, r in words.items()} == {None: 0, 2**60 + 1: 60, 2**60 + 3: 60}
