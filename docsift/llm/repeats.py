@@ -282,7 +282,8 @@ def intervals(docs: DataFrame, s: Scheme, compare: Compare) -> DataFrame:
     anchors = cut_lineage(scan(docs, s))
     covered, rep = settle(anchors, s)
     ctx = cut_lineage(contexts(docs, rep, s))
-    return (covered.unionByName(compare_groups(ctx.filter("not hot"), s, compare))
+    rows = 4_000 if s.words else 20_000                   # a context of words is several times as long
+    return (covered.unionByName(compare_groups(ctx.filter("not hot"), s, compare, rows))
             .unionByName(compare_hot(ctx.filter("hot"), s)))
 
 

@@ -14,9 +14,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from docsift.llm.repeats import Scheme, body_buffers, coded, digest, intervals
+from docsift.llm.repeats import CHUNK, Scheme, body_buffers, coded, digest, intervals
 from docsift.llm.tables import documents
-from docsift.llm.words import Words
+from docsift.llm.words import Words, chunks
 
 #: Windows of 50 words, anchors of 8.
 MIN_WORDS, GRAM = 50, 8
@@ -42,13 +42,16 @@ def deep_nodes(symbols: np.ndarray, depth: int) -> np.ndarray:
 def compare(c: dict, s: Scheme) -> tuple[np.ndarray, np.ndarray]:
     """(left, right) covered around each anchor by windows of smaller documents."""
     raw, off = body_buffers(c["body"])
-    w = Words(raw, off, 0, len(off) - 1)
     m = len(c["lo"])
-    node = deep_nodes(w.h, s.size)
-    count = np.maximum(w.n - s.size + 1, 0)
+    # the arrays of a chunk's bytes go with the chunk; only words stay
+    parts = [(w.n, w.h) for w in (Words(raw, off, i, j) for i, j in chunks(off, CHUNK))]
+    n_words, hashes = (np.concatenate(x) for x in zip(*parts))
+    first = np.r_[0, np.cumsum(n_words)]
+    node = deep_nodes(hashes, s.size)
+    count = np.maximum(n_words - s.size + 1, 0)
     t = np.repeat(np.arange(m), count)
     k = np.arange(len(t)) - np.repeat(np.cumsum(count) - count, count)
-    leaf = node[w.first[t] + k]
+    leaf = node[first[t] + k]
     least = np.full(leaf.max(initial=0) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, leaf, c["doc_id"][t])
     on = c["doc_id"][t] > least[leaf]
