@@ -62,19 +62,24 @@ _TABLES = itertools.count()
 _KEPT: dict[str, SparkSession] = {}
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, row_group: int | None = None) -> DataFrame:
     """Write `df` as a Parquet table under the shared checkpoint folder and read it back.
 
     Survives executor loss like a reliable checkpoint, and the re-read plan
     carries the real file sizes as statistics (a checkpointed Dataset keeps
     the size estimate of the plan it replaced, and products of such estimates
     compound over iterative jobs).  The table lives until `drop_table`,
-    the end of its `workspace`, or the end of the application.
+    the end of its `workspace`, or the end of the application.  `row_group`:
+    bytes a writing task holds before it writes them out (Parquet's default
+    without), for tables of long array columns.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/tables/t{next(_TABLES):06d}-{uuid.uuid4().hex[:8]}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    writer = df.write.mode("overwrite").option("compression", "zstd")
+    if row_group:
+        writer = writer.option("parquet.block.size", row_group)
+    writer.parquet(path)
     _KEPT[path] = spark
     out = spark.read.parquet(path)
     out._docsift_table = path
