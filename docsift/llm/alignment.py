@@ -34,6 +34,8 @@ from docsift.llm.words import chunks, text_buffers
 from docsift.session import cut_lineage
 
 CHUNK, FLUSH, HEAVY = 1 << 18, 1 << 19, 100_000
+#: Bytes of ids a writing task gathers before they go to disk.
+ROW_GROUP = 8 << 20
 #: Fixed value: how the byte-level vocabulary cuts texts into pre-tokens.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -292,7 +294,7 @@ def score(aligned: DataFrame, counts: DataFrame) -> DataFrame:
                           _lists(rest[first], bound, pa.int64()), _lists(times, bound, pa.int64())], SCORED)
 
     texts = aligned.filter(F.col("part") == _TEXTS).select(*_KEPT, "fast", "pairs")
-    known_part = cut_lineage(texts.mapInArrow(run, SCORED))
+    known_part = cut_lineage(texts.mapInArrow(run, SCORED), ROW_GROUP)
     rest = known_part.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select(
         "row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
     more = rest.join(counts.filter(light & ~F.col("fast")), "pair").groupBy("row").agg(
@@ -308,5 +310,5 @@ _KEPT = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 
 def tokenizer_alignment(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Both steps: one row per document, scored by corpus-wide counts of id pairs."""
-    aligned = cut_lineage(align(docs, path_a, path_b))
+    aligned = cut_lineage(align(docs, path_a, path_b), ROW_GROUP)
     return score(aligned, cut_lineage(pair_counts(aligned)))
