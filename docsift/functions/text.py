@@ -52,7 +52,6 @@ STOPWORDS = (
 STOPWORD_SET = tuple(sorted(set(STOPWORDS)))
 
 # Word pattern of the word statistics, and of the coherence tokenizer.
-ALNUM_PATTERN = "[A-Za-z0-9]+"
 COHERENCE_PATTERN = "[a-z0-9-]+"
 COHERENCE_MIN_LEN = 3
 # Characters a Python-style strip() removes (str.isspace), as a regex class.

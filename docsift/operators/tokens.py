@@ -29,11 +29,6 @@ def after_view(clean: DataFrame, stopwords=STOPWORD_SET) -> DataFrame:
             .withColumn("Title_Abstract_Clean", join_text("Title_Clean", "Abstract_Clean")))
 
 
-def with_tokens(clean: DataFrame, text: str = "title_abstract", out: str = "tokens",
-                stopwords=STOPWORD_SET) -> DataFrame:
-    return clean.withColumn(out, tokens_alnum(text, stopwords))
-
-
 def doc_term_freq(clean: DataFrame, text: str = "title_abstract",
                   stopwords=STOPWORD_SET) -> DataFrame:
     """Long table (doc_id, term, n, first_pos): count of each token per document.

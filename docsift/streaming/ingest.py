@@ -41,8 +41,8 @@ def word_count_rows(corpus: DataFrame, stopwords=STOPWORD_SET) -> DataFrame:
 
 
 def start_word_counts(spark: SparkSession, folder: str, out_dir: str, name: str = "word_counts"):
-    """Start two queries: per-document rows appended to Parquet, and running totals
-    per source kept in state (update mode, to the in-memory sink `name`_totals)."""
+    """Start two queries: per-document rows appended to Parquet, and one running total
+    over all documents (complete mode, to the in-memory sink `name`_totals)."""
     ck = ensure_checkpoint_dir(spark)
     rows = word_count_rows(documents_stream(spark, folder))
     q1 = (rows.writeStream.format("parquet").option("path", out_dir)
