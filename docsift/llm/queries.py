@@ -64,7 +64,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_counts(read(spark, sf_dir, "documents"), tokenizer_path()).drop("sums")
+    return edit_counts(read(spark, sf_dir, "documents"), tokenizer_path()).drop("text", "version", "bounds", "sums")
 
 
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,10 @@ newline; the tokenizer cuts there before anything else, so a text's count is
 the sum of its leaves'.  The tree is the array of a binary heap: node 1 is the
 root, nodes P..2P-1 the leaves.  An edit re-encodes the leaves it touches, and
 the next one while its own end is no longer a boundary, and updates the sums on
-the path to the root.
+the path to the root.  Leaves that became one region leave empty ones before
+it, so bounds and sums keep their length and the result is the tree of the
+edited text, ready for the next edits.  A leaf grows by what is inserted into
+it; `build_trees` on the edited text evens the leaves out again.
 """
 
 from __future__ import annotations
@@ -116,12 +119,37 @@ def touched(bounds: list[int], text: bytes, edits: list[tuple[int, int, bytes]])
     return out
 
 
+def moved(bounds: list[int], regions: list[tuple[int, int, bytes]]) -> list[int]:
+    """Bounds after the edits: a region's bytes are its last leaf, the ones before it are empty.
+
+    Like this a place at a region's start, or at the end of the text, belongs to
+    the leaf that holds the bytes around it, never to an empty one in its middle.
+    """
+    sizes = np.diff(bounds)
+    for a, z, new in regions:
+        sizes[a:z] = 0
+        sizes[z - 1] = len(new)
+    return [0, *np.cumsum(sizes).tolist()]
+
+
+def edited(text: bytes, edits: list[tuple[int, int, bytes]]) -> bytes:
+    """The text after its edits."""
+    parts, at = [], 0
+    for start, end, new in edits:
+        parts += [text[at:start], new]
+        at = end
+    return b"".join([*parts, text[at:]])
+
+
 def apply_edits(docs: DataFrame, trees: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, n_tokens_before, n_tokens_after, n_edits, n_bytes, n_reencoded, sums).
+    """(doc_id, n_tokens_before, n_tokens_after, n_edits, n_bytes, n_reencoded, text, version, bounds, sums).
 
     docs: (doc_id, text, edits: byte ranges of the text and what replaces them,
-    sorted, not overlapping; null: none); trees: of the same texts.  Counts have
-    no end id.  Rows with equal doc_id are counted each by their own text.
+    sorted, not overlapping; null: none), other columns are not read; trees: of
+    the same texts.  The last four columns are the edited text and its tree: the
+    documents and the trees of the next edits.  Counts have no end id.  A null
+    text is empty, a null doc_id a key like any other.  Rows with equal doc_id
+    are counted each by their own text; repeated rows all stay.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,21 +164,23 @@ def apply_edits(docs: DataFrame, trees: DataFrame, tokenizer: str) -> DataFrame:
                     own = [(x["start"], x["end"], x["text"].encode()) for x in edits[r - i] or ()]
                     found = touched(bounds[r - i], text, own)
                     regions += [x[2] for x in found]
-                    rows.append((len(own), len(text), found))
+                    rows.append((len(own), len(text), found, edited(text, own)))
                 counts, out = iter(_count(words, regions)), []
-                for tree, (n, size, found) in zip(trees_, rows):
+                for tree, cuts, (n, size, found, new_text) in zip(trees_, bounds, rows):
                     before = tree[1]
-                    for a, z, new in found:
-                        update(tree, a, next(counts))
-                        for k in range(a + 1, z):
+                    for a, z, _ in found:
+                        for k in range(a, z - 1):
                             update(tree, k, 0)
-                    out.append((before, tree[1], n, size, sum(len(x[2]) for x in found), tree))
+                        update(tree, z - 1, next(counts))
+                    out.append((before, tree[1], n, size, sum(len(x[2]) for x in found), new_text,
+                                moved(cuts, found), tree))
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(i, j - i), *(pa.array(c, pa.int64()) for c in cols[:5]),
-                     pa.array(cols[5], pa.list_(pa.int64()))], names=names)
+                     pa.array(cols[5], pa.binary()).cast(pa.string()), pa.array(cols[6], pa.list_(pa.int32())),
+                     pa.array(cols[7], pa.list_(pa.int64()))], names=[*names, "text", "bounds", "sums"])
 
-    names = ["doc_id", "n_tokens_before", "n_tokens_after", "n_edits", "n_bytes", "n_reencoded", "sums"]
+    names = ["doc_id", "n_tokens_before", "n_tokens_after", "n_edits", "n_bytes", "n_reencoded"]
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "edits")
     t = trees.dropDuplicates(["doc_id", "version"]).select(
@@ -158,7 +188,8 @@ def apply_edits(docs: DataFrame, trees: DataFrame, tokenizer: str) -> DataFrame:
     joined = base.withColumn("v", F.xxhash64("text")).join(
         t, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("v") == F.col("version")))
     return joined.select("doc_id", "text", "edits", "bounds", "sums").mapInArrow(
-        run, ", ".join(["doc_id long", *(f"{c} long" for c in names[1:6]), "sums array<long>"]))
+        run, ", ".join([*(f"{c} long" for c in names), "text string", "bounds array<int>", "sums array<long>"])).select(
+        *names, "text", F.xxhash64("text").alias("version"), "bounds", "sums")
 
 
 def cleaning_edits(docs: DataFrame) -> DataFrame:

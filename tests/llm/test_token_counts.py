@@ -53,6 +53,47 @@ def test_counts_after_edits(spark, model):
             assert r.n_reencoded == 0
 
 
+def random_edits(rng, text):
+    b = (text or "").encode()
+    cuts = sorted(rng.choice([0, len(b), rng.randrange(len(b) + 1)]) for _ in range(2 * rng.randint(0, 4)))
+    cuts = [c for c in cuts if c == len(b) or b[c] & 0xC0 != 0x80]
+    return [(s, e, rng.choice(["", "x", " ", "new word", "\n", "3.", " many words more " * 9])) for s, e in zip(cuts[::2], cuts[1::2])]
+
+
+def test_a_tree_serves_one_edit_pass_after_the_other(spark, model):
+    rng = random.Random(8)
+    texts = {d: t for d, t, *_ in corpus(6, 30)} | {7000 + k: t for k, t in enumerate(ODD)} | {None: "null id, null version"}
+    schema = f"doc_id long, text string, sums string, edits {T.EDITS}"
+    frame = lambda now: spark.createDataFrame([(d, t, "clash", random_edits(rng, t)) for d, t in now.items()], schema)
+    docs = frame(texts)
+    trees = T.build_trees(docs, PATH, leaf=32)
+    for _ in range(4):
+        edits = {r.doc_id: r.edits for r in docs.collect()}
+        out = T.apply_edits(docs, trees, PATH).collect()
+        want = {d: apply((t or "").encode(), edits[d]) for d, t in texts.items()}
+        assert {r.doc_id: r.text for r in out} == want
+        for r in out:
+            assert (r.n_tokens_before, r.n_tokens_after) == (len(ids(model, texts[r.doc_id])), len(ids(model, r.text)))
+            b = r.text.encode()
+            leaves = [b[x:y].decode() for x, y in zip(r.bounds, r.bounds[1:])]
+            assert "".join(leaves) == r.text and len(r.sums) // 2 >= len(leaves)
+            half = len(r.sums) // 2
+            assert r.sums[half:half + len(leaves)] == [len(ids(model, t)) for t in leaves]
+        texts = want
+        docs = frame(texts)
+        trees = spark.createDataFrame([(r.doc_id, r.version, r.bounds, r.sums) for r in out],
+                                      "doc_id long, version long, bounds array<int>, sums array<long>")
+
+
+def test_repeated_rows_equal_ids_and_a_very_long_text(spark, model):
+    long_ = "word and 1234567 more\n" * 20_000 + "x" * 50_000
+    rows = [(1, "one 12345"), (1, "two words 123456"), (1, "one 12345"), (2, long_)]
+    got = T.edit_counts(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    assert sorted(r.text for r in got if r.doc_id == 1) == ["one 0", "one 0", "two words 0"]
+    r = next(r for r in got if r.doc_id == 2)
+    assert r.text == "word and 0 more\n" + "x" * 50_000 and r.n_tokens_after == len(ids(model, r.text))
+
+
 def test_cleaning_edits(spark, model):
     text = "a 1234567\nsame line\nb\nsame line\nsame line\n\n99999"
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
