@@ -2,8 +2,8 @@
 
 The raw model counts the hashed unigrams and bigrams of every document; the
 target model those of labelled good documents (a bounded sample: `SAMPLE`).  A
-document's log weight is the mean log ratio of its n-grams, times LENGTH: the
-weight of a passage of that many, so that long documents do not win by length.
+document's log weight is the log of target / raw, the sum over its n-grams;
+with `length` their mean times that many, the weight of a passage of one length.
 Adding Gumbel noise, keyed by doc_id, and keeping the k largest draws k documents
 without replacement in proportion to the weights.
 """
@@ -22,7 +22,7 @@ from docsift.llm.words import U64, Words, chunks, mix, text_buffers
 from docsift.session import cut_lineage
 
 #: Buckets of unigrams, and of bigrams; labelled target documents at most.
-BUCKETS, SAMPLE, LENGTH, SMOOTH = 1 << 19, 20_000, 100.0, 0.5
+BUCKETS, SAMPLE, SMOOTH = 1 << 19, 20_000, 0.5
 
 
 def _grams(raw, off, i, j):
@@ -78,8 +78,11 @@ def good_ids(labels: DataFrame, limit: int = SAMPLE) -> tuple[DataFrame, float]:
             1.0 if share is None else share)
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """(doc_id, n_grams, log_weight); documents without words weigh 0."""
+def weigh(docs: DataFrame, ratio: np.ndarray, length: float | None = None) -> DataFrame:
+    """(doc_id, n_grams, log_weight): sum of the n-grams' log ratios, or `length` times their mean.
+
+    Documents without words weigh 0.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(ratio)      # 2 * BUCKETS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +95,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 s = np.bincount(d, weights=r[g], minlength=j - i)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)),
-                     pa.array(LENGTH * s / np.maximum(n, 1))], names=["doc_id", "n_grams", "log_weight"])
+                     pa.array(s if length is None else length * s / np.maximum(n, 1))], names=["doc_id", "n_grams", "log_weight"])
 
     return docs.mapInArrow(run, "doc_id long, n_grams long, log_weight double")
 
@@ -131,17 +134,19 @@ def kth_largest(scores: DataFrame, col: str, k: int, bins: int = 4096) -> float
 
 
 def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 17,
-                        sample: int = SAMPLE) -> DataFrame:
+                        sample: int = SAMPLE, length: float | None = None) -> DataFrame:
     """(doc_id, n_grams, log_weight, score, kept) for every document.
 
     kept: the ceil(share * n) largest scores; ties at the last place are all
-    kept.  share: by default the labels' share of good documents.  Null, empty
-    and wordless texts weigh 0 (neutral); rows with equal doc_id share noise.
+    kept.  share: by default the labels' share of good documents.  length: see
+    `weigh`.  Null, empty and wordless texts weigh 0 (neutral); rows with equal
+    doc_id share noise, as do all rows with a null one; repeated rows all count.
+    Columns other than doc_id and text are not read.
     """
     docs = documents(docs)
     ids, good = good_ids(labels, sample)
     target = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("t_id"), "left_semi")
-    scored = cut_lineage(weigh(docs, log_ratio(docs, target)).withColumn(
+    scored = cut_lineage(weigh(docs, log_ratio(docs, target), length).withColumn(
         "score", F.col("log_weight") + gumbel(F.col("doc_id"), seed)))
     k = int(np.ceil((good if share is None else share) * scored.count()))
     least = kth_largest(scored, "score", k)
