@@ -3,8 +3,9 @@
 Text statistics are computed for every document.  Rules are learned on a
 bounded sample of labelled documents (`SAMPLE` rows, a documented bound): grow a
 conjunction of thresholds by information gain on two thirds of the sample,
-prune it on the rest, keep it if it is precise, drop what it covers, repeat.
-The list becomes one ordered CASE expression over the statistics.
+prune it on the rest, keep it if it is precise there, drop what it covers,
+repeat.  Flagged words are learned on the growing two thirds only, so the third
+that prunes and accepts is independent of all that was learned.  The list becomes one ordered CASE expression over the statistics.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 
 from docsift.llm.tables import documents
 from docsift.llm.words import MARKS, Prefix, U64, Words, _BYTE, chunks, mix, text_buffers
+from docsift.session import cut_lineage
 
-#: Labelled documents used to learn rules, and to learn flagged words, at most.
-SAMPLE, WORD_SAMPLE = 20_000, 8_000
+#: Labelled documents used to learn flagged words and rules, at most.
+SAMPLE = 20_000
 MAX_FLAGGED, MIN_CONTEXTS, MIN_SHARE = 512, 10, 0.95
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper",
          "n_exclaim", "n_distinct", "n_flagged"]
@@ -114,8 +116,13 @@ def labelled(labels: DataFrame, limit: int) -> DataFrame:
             .agg(F.max(bad.cast("int")).alias("bad")).orderBy(F.xxhash64("l_id"), "l_id").limit(limit))
 
 
-def flagged_words(docs: DataFrame, labels: DataFrame, limit: int = WORD_SAMPLE) -> list[int]:
-    """Hashes of at most MAX_FLAGGED words that stand nearly always in bad documents.
+def fold(key: str) -> Column:
+    """0 and 1 grow, 2 prunes."""
+    return F.pmod(F.xxhash64(F.lit(7), key), F.lit(3))
+
+
+def flagged_words(docs: DataFrame, sample: DataFrame) -> list[int]:
+    """Hashes of at most MAX_FLAGGED words that stand nearly always in bad documents of `sample` (l_id, bad).
 
     Support is the number of different words before it, so copies of one text
     do not add up.
@@ -131,7 +138,6 @@ def flagged_words(docs: DataFrame, labels: DataFrame, limit: int = WORD_SAMPLE)
                     [pa.array(t[:, 0].copy().view(np.int64)), pa.array(t[:, 1].copy().view(np.int64)),
                      pa.array(t[:, 2].astype(np.int32))], names=["h", "before", "bad"])
 
-    sample = labelled(labels, limit)
     pairs = (documents(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"))
              .select("text", "bad").mapInArrow(run, "h long, before long, bad int").distinct())
     rows = (pairs.groupBy("h").agg(F.sum("bad").alias("p"), F.count(F.lit(1)).alias("n"))
@@ -142,7 +148,7 @@ def flagged_words(docs: DataFrame, labels: DataFrame, limit: int = WORD_SAMPLE)
 
 @dataclass
 class Rule:
-    """A conjunction of (feature, '<=' or '>', threshold) that rejects."""
+    """A conjunction of (feature, '<=' or '>', threshold) that rejects; hits, wrong: on the pruning fold."""
 
     terms: list[tuple[str, str, float]] = field(default_factory=list)
     hits: int = 0
@@ -191,7 +197,11 @@ def _best_term(x: pd.DataFrame, y: np.ndarray):
 
 def learn(x: pd.DataFrame, bad: np.ndarray, fold: np.ndarray, max_rules: int = 16, max_terms: int = 4,
           precision: float = 0.9, support: int = 5) -> list[Rule]:
-    """Decision list for `bad`; fold: 0 and 1 grow, 2 prunes (cut from a hash of the key)."""
+    """Decision list for `bad`; fold: 0 and 1 grow, 2 prunes (cut from a hash of the key).
+
+    A rule is kept for what it does on the pruning fold: at least `support` bad
+    rows covered there, `precision` of all that it covers.
+    """
     rules: list[Rule] = []
     left = np.ones(len(x), bool)
     while len(rules) < max_rules:
@@ -207,12 +217,12 @@ def learn(x: pd.DataFrame, bad: np.ndarray, fold: np.ndarray, max_rules: int = 1
             c = Rule(rule.terms[:k]).covers(x) & prune
             worth.append((bad[c].sum() - (~bad[c]).sum()) / max(1, c.sum()))
         rule.terms = rule.terms[:int(np.argmax(worth)) + 1]
-        on = rule.covers(x) & left
-        rule.hits, rule.wrong = int(bad[on].sum()), int((~bad[on]).sum())
+        held = rule.covers(x) & prune
+        rule.hits, rule.wrong = int(bad[held].sum()), int((~bad[held]).sum())
         if rule.hits < support or rule.hits < precision * (rule.hits + rule.wrong):
             break
         rules.append(rule)
-        left &= ~on
+        left &= ~rule.covers(x)
     return rules
 
 
@@ -226,11 +236,11 @@ def verdict(rules: list[Rule]) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[int], list[Rule]]:
     """(flagged word hashes, rules).  No usable labels give no rules."""
-    words = flagged_words(docs, labels)
-    chosen = labelled(labels, sample)
+    chosen = cut_lineage(labelled(labels, sample))
+    words = flagged_words(docs, chosen.filter(fold("l_id") < 2))
     x = (text_stats(documents(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"), "left_semi"), words)
          .join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
-         .select("bad", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(3)).alias("fold"), "doc_id",
+         .select("bad", fold("doc_id").alias("fold"), "doc_id",
                  *(F.expr(e).alias(f) for f, e in FEATURES.items()))
          .orderBy("doc_id").limit(sample).toPandas())
     return words, learn(x[list(FEATURES)], x["bad"].to_numpy() == 1, x["fold"].to_numpy())
@@ -243,7 +253,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """(doc_id, *STATS, base_failed, rule, kept) for every document.
 
     rule: the learned rule that rejects, or null.  Null and empty texts fail the
-    base rule; rows with equal doc_id are judged each by their own text.
+    base rule; rows with equal doc_id are judged each by their own text, repeated
+    rows all stay.  Labels of a null doc_id are not used, documents with one are
+    judged like others.  Columns other than doc_id and text are not read.
     """
     words, rules = fit(docs, labels, sample)
     return (text_stats(docs, words).withColumn("base_failed", F.expr(BASE_FAILED))
