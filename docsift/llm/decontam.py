@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.tables import documents
+from docsift.llm.tables import documents, same_columns, whole_rows
 from docsift.session import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -126,22 +126,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                   action: str = "document") -> DataFrame:
     """`docs` without contaminated documents, or (action='span') without hit words.
 
-    All columns of `docs` stay; with 'span' the text between words is kept as it
-    is and only hit words go.
+    All columns of `docs` stay, of any name; with 'span' the text between words is
+    kept as it is and only hit words go.  Null and empty texts hold nothing.  Rows
+    with equal doc_id are judged each by its own text, of equal texts all or none
+    go; a null doc_id is a key like any other.
     """
     if action not in ("document", "span"):
         raise ValueError(action)
-    bad = contamination(docs, benchmark, window).filter("contaminated").select(
-        F.col("doc_id").alias("_bad"), F.col("spans").alias("_spans")).dropDuplicates(["_bad"])
-    on = docs["doc_id"].cast("long").eqNullSafe(F.col("_bad"))
+    # a key of id and text, so rows that only share their id stay apart
+    key = F.xxhash64("doc_id", "text")
+    rows = whole_rows(docs).withColumn("key", key)
+    found = contamination(rows.select(F.col("key").alias("doc_id"), "text"), benchmark, window)
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("bad"), "spans").dropDuplicates(["bad"])
+    on = F.col("key") == F.col("bad")
     if action == "document":
-        return docs.join(bad, on, "left_anti")
+        return same_columns(rows.join(bad, on, "left_anti"), docs)
     # text = gap, word, gap, word, ..., gap
-    text = F.col("text").cast("string")
-    found, gaps = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD)
-    left = F.transform(found, lambda t, i: F.concat(
-        F.get(F.col("_gaps"), i), F.when(F.array_contains("_spans", i), "").otherwise(t)))
-    cut = F.concat(F.array_join(left, ""), F.element_at("_gaps", -1))
-    hit = docs.join(bad, on, "left").withColumn("_gaps", F.when(F.col("_spans").isNotNull(), gaps))
-    return hit.withColumn(
-        "text", F.when(F.col("_spans").isNull(), text).otherwise(cut)).drop("_bad", "_spans", "_gaps")
+    words_, gaps = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD)
+    hit = rows.join(bad, on, "left").withColumn("gaps", F.when(F.col("spans").isNotNull(), gaps))
+    left = F.transform(words_, lambda t, i: F.concat(
+        F.get(F.col("gaps"), i), F.when(F.array_contains("spans", i), "").otherwise(t)))
+    cut = F.concat(F.array_join(left, ""), F.element_at("gaps", -1))
+    return same_columns(hit, docs, text=F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsift.llm.tables import connected_components, documents
+from docsift.llm.tables import connected_components, documents, same_columns, whole_rows
 from docsift.llm.words import Prefix, U64, Words, chunks, mix, text_buffers
 from docsift.session import cut_lineage
 
@@ -455,7 +455,9 @@ def ngram_components(docs: DataFrame, k: int = SHINGLE, group: int = GROUP) -> D
     fewer than k words are one shingle; null, empty and blank texts have none and
     are linked with nothing.  Texts with equal sets are linked whatever their
     number (one row each, never pairs).  Rows with equal doc_id keep their own
-    n_shingles and share links.
+    n_shingles and share links.  A row with a null doc_id is no member of a
+    component (it has no name to give): n_shingles, and a null component_id
+    unless its set is that of a named document; `keep_one` links such rows too.
     """
     docs = documents(docs)
     spark = docs.sparkSession
@@ -491,6 +493,18 @@ def ngram_components(docs: DataFrame, k: int = SHINGLE, group: int = GROUP) -> D
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """`docs` with one document of each component: that of the smallest doc_id."""
-    drop = ngram_components(docs, k).filter("component_id <> doc_id").select(F.col("doc_id").alias("_drop"))
-    return docs.join(drop, docs["doc_id"].cast("long") == F.col("_drop"), "left_anti")
+    """`docs` with one document of each component: that of the smallest doc_id, a null one being the least.
+
+    Rows with equal doc_id are documents of their own if their texts differ (the
+    lesser hash of both stays if they are linked); repeated rows, equal in both,
+    stay or go together.  All columns stay, of any name.
+    """
+    # a key of id and text stands for the document in the join; ids come back to choose
+    rows = whole_rows(docs).withColumn("key", F.xxhash64("doc_id", "text"))
+    comp = ngram_components(rows.select(F.col("key").alias("doc_id"), "text"), k).select(
+        F.col("doc_id").alias("of"), F.col("component_id").alias("comp")).dropDuplicates(["of"])
+    linked = cut_lineage(rows.select("doc_id", "key").distinct().join(comp, F.col("key") == F.col("of")))
+    first = linked.groupBy("comp").agg(F.min(F.struct("doc_id", "key")).alias("first")).select(
+        "comp", F.col("first.key").alias("stays"))
+    drop = linked.join(first, "comp").filter("key <> stays").select(F.col("key").alias("goes"))
+    return same_columns(rows.join(drop, F.col("key") == F.col("goes"), "left_anti"), docs)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsift.llm.tables import same_columns
+
 ROUNDS = 10
 #: Days of one whole calendar cycle of 400 years from 1800-01-01: 189 * 773.
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 189, 773
@@ -189,19 +191,19 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     Emails keep their shape (not a permutation: two addresses could meet, with
     probability 26^-length); the other kinds are permutations of their valid
     values.  Null stays null; text between values is untouched; all rows and
-    columns stay (counts overwrite columns of the same names).
+    columns stay, of any name (counts overwrite columns of the same names).  Each
+    row is judged by itself, so ids, null or equal ones too, play no part.
     """
     text = F.col(text_col).cast("string")
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    work = docs.withColumn("_found", F.when(text.rlike("[0-9@]"), found)).withColumn(
-        "_new", F.transform("_found", lambda m: pseudonym(key, m)))
-    gaps = F.split(text, ANY)
-    rebuilt = F.concat(F.array_join(F.transform("_new", lambda p, i: F.concat(
-        F.get(F.col("_gaps"), i), F.coalesce(p["value"], F.get(F.col("_found"), i)))), ""),
-        F.element_at("_gaps", -1))
-    changed = F.exists("_new", lambda p: p.isNotNull())
-    work = work.withColumn("_gaps", F.when(changed, gaps))
-    counts = {f"n_{kind}": F.expr(f"bigint(coalesce(size(filter(_new, p -> p.kind = '{kind}')), 0))")
+    found = F.regexp_extract_all("t", F.lit(ANY), F.lit(0))
+    work = (docs.select(F.struct("*").alias("row"), text.alias("t"))
+            .withColumn("found", F.when(F.col("t").rlike("[0-9@]"), found))
+            .withColumn("new", F.transform("found", lambda m: pseudonym(key, m))))
+    changed = F.exists("new", lambda p: p.isNotNull())
+    work = work.withColumn("gaps", F.when(changed, F.split("t", ANY)))
+    rebuilt = F.concat(F.array_join(F.transform("new", lambda p, i: F.concat(
+        F.get(F.col("gaps"), i), F.coalesce(p["value"], F.get(F.col("found"), i)))), ""),
+        F.element_at("gaps", -1))
+    counts = {f"n_{kind}": F.expr(f"bigint(coalesce(size(filter(new, p -> p.kind = '{kind}')), 0))")
               for kind in PATTERNS}
-    return work.withColumns({text_col: F.when(changed, rebuilt).otherwise(text), **counts}).drop(
-        "_found", "_new", "_gaps")
+    return same_columns(work, docs, **{text_col.lower(): F.when(changed, rebuilt).otherwise(F.col("t")), **counts})

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.tables import documents
+from docsift.llm.tables import documents, same_columns, whole_rows
 from docsift.llm.words import MARKS, Prefix, U64, Words, _BYTE, chunks, mix, text_buffers
 from docsift.session import cut_lineage
 
@@ -261,3 +261,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return (text_stats(docs, words).withColumn("base_failed", F.expr(BASE_FAILED))
             .withColumn("rule", verdict(rules))
             .withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """`docs` without the rows that the base rule or the learned list rejects.
+
+    All columns stay, of any name.  Rows with equal doc_id are judged each by
+    their own text; a null doc_id is judged like any other.
+    """
+    words, rules = fit(docs, labels, sample)
+    rows = whole_rows(docs).withColumn("key", F.xxhash64("text"))       # the verdict depends on the text alone
+    good = (text_stats(rows.select(F.col("key").alias("doc_id"), "text"), words)
+            .filter(~F.expr(BASE_FAILED) & verdict(rules).isNull()).select(F.col("doc_id").alias("good")).distinct())
+    return same_columns(rows.join(good, F.col("key") == F.col("good"), "left_semi"), docs)

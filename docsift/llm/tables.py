@@ -1,13 +1,15 @@
 """Table helpers shared by the training-data operators.
 
 Every operator first narrows its input to the columns it reads and renames
-them, so extra or clashing columns never reach a join; `doc_id` is the key and
-is taken to be unique per row (a null `doc_id` is a key like any other).
+them, or carries the caller's row as one struct (`whole_rows`), so extra or
+clashing columns never reach a join.  `doc_id` is the key and meant to be unique
+per row; a null `doc_id` is a key like any other.  What rows with equal keys get
+is said at each operator.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.session import cut_lineage
@@ -23,6 +25,19 @@ def documents(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): the caller's row as a struct beside its key and its text (null stays null)."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+                       F.col("text").cast("string").alias("text"))
+
+
+def same_columns(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of `docs` out of `row`, those named in `new` (in any case) replaced; further names are added."""
+    own = {c.lower() for c in docs.columns}
+    old = [new.get(c.lower(), F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return rows.select(*old, *(v.alias(c) for c, v in new.items() if c not in own))
+
+
 def connected_components(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
     """(id, comp): smallest id reachable over `edges` (a, b), for ids with an edge.
 
