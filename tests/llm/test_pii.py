@@ -82,6 +82,46 @@ def test_iban_and_email(spark):
     assert mail in r[1].text and "jane" not in r[1].text and r[1].n_email == 1
 
 
+def test_national_phones(spark):
+    rows = run(spark, ["743-555-3824", "call (743) 555-3824.", "743.555.3824", "143-555-3824", "743-155-3824", "x743-555-3824",
+                       "743-555-38245", "0-743-555-3824"])
+    x, y = feistel("national", 543, 355 * 10_000 + 3824, 800, 8_000_000)
+    a, e, n = str(x + 200), str(y // 10_000 + 200), f"{y % 10_000:04d}"
+    assert [r.text for r in rows[:3]] == [f"{a}-{e}-{n}", f"call ({a}) {e}-{n}.", f"{a}.{e}.{n}"]
+    assert [r.n_phone for r in rows] == [1, 1, 1, 0, 0, 0, 0, 0] and rows[3].text == "143-555-3824"
+    many = [r.text for r in run(spark, [f"{a}-{e}-{n:04d}" for a in (200, 201, 998, 999) for e in (200, 999) for n in range(60)])]
+    assert len(set(many)) == len(many) and all(re.fullmatch(r"[2-9]\d\d-[2-9]\d\d-\d{4}", t) for t in many)
+
+
+def iban(land, body):
+    number = lambda s: int("".join(str(int(c, 36)) for c in s))
+    return f"{land}{98 - number(body + land + '00') % 97:02d}{body}"
+
+
+def test_ibans_with_letters_and_in_groups(spark):
+    own = ["GB82WEST12345698765432", iban("MT", "MALT011000012345MTLCAST001S"), iban("FR", "20041010050500013M02606"),
+           iban("NL", "ABNA0417164300"), iban("XX", "ABCDEFGHIJKLMNOPQRST"), iban("XX", "12345678901")]
+    groups = [" ".join(s[i:i + 4] for i in range(0, len(s), 4)) for s in own]
+    rows = run(spark, [f"to {s}, now" for s in own + groups])
+    for old, r in zip(own + groups, rows):
+        new = r.text[3:-5]
+        shape = lambda s: re.sub("[0-9]", "9", re.sub("[A-Z]", "A", s))
+        s = new.replace(" ", "")
+        assert r.n_iban == 1 and new != old and new[:2] == old[:2] and shape(new) == shape(old)
+        assert iban(s[:2], s[4:]) == s
+    assert [r.text.replace(" ", "") for r in rows[:6]] == [r.text.replace(" ", "") for r in rows[6:]]
+    bad = ["GB83WEST12345698765432", "GB83 WEST 1234 5698 7654 32", iban("XX", "ABCDEFGHIJKLMNOPQRSTU")]
+    assert [r.text for r in run(spark, bad)] == bad
+    short = [r.text for r in run(spark, [iban("GB", f"A{a}{b}T1234567{c}") for a in "AZ" for b in "ABCDEFXYZ" for c in range(100, 140)])]
+    assert len(set(short)) == 2 * 9 * 40
+
+
+def test_cards_of_fifteen_digits(spark):
+    r = run(spark, ["3782 822463 10005", "378282246310005", "3782-822463-10006"])
+    assert re.fullmatch(r"\d{4} \d{6} \d{5}", r[0].text) and luhn(r[0].text.replace(" ", ""))
+    assert r[0].text.replace(" ", "") == r[1].text != "378282246310005" and r[2].text == "3782-822463-10006"
+
+
 def test_links_across_documents_depend_on_the_key(spark):
     a, b = (run(spark, ["129.38.82.176", "see 129.38.82.176."], k) for k in ("k1", "k2"))
     assert a[1].text == f"see {a[0].text}." and a[0].text != b[0].text
