@@ -270,7 +270,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
     their own text; a null doc_id is judged like any other.
     """
     words, rules = fit(docs, labels, sample)
-    rows = whole_rows(docs).withColumn("key", F.xxhash64("text"))       # the verdict depends on the text alone
+    rows = whole_rows(docs).withColumn("key", F.xxhash64("doc_id", "text"))      # copies of one text are spread
     good = (text_stats(rows.select(F.col("key").alias("doc_id"), "text"), words)
             .filter(~F.expr(BASE_FAILED) & verdict(rules).isNull()).select(F.col("doc_id").alias("good")).distinct())
     return same_columns(rows.join(good, F.col("key") == F.col("good"), "left_semi"), docs)
