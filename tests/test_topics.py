@@ -74,3 +74,60 @@ def test_topic_similarity_term_chunks_agree(spark):
     assert one.keys() == small.keys()
     for k, v in one.items():
         assert small[k] == pytest.approx(v, abs=1e-12)
+
+
+def test_token_lists_count_like_term_counts(spark):
+    """Lists of tokens give the counts of (doc_id, term, n) rows, for repeated and null ids too, and tokenise once."""
+    from docsift.operators import topics as T
+    lists = [(1, ["a", "b", "a"]), (2, ["a"]), (2, ["c", "a"]), (3, []), (None, ["a"]), (4, ["d", "b"])]
+    toks = spark.createDataFrame(lists, "doc_id long, tokens array<string>")
+    long = toks.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(
+        F.count(F.lit(1)).alias("n"))
+    rows = [(5, 1, 0), (5, 2, 0), (5, 2, 1), (5, 3, -1), (5, 4, 1), (9, 1, 1), (9, 2, 0), (9, 2, 0), (9, 4, 0),
+            (5, None, 0)]
+    assign = spark.createDataFrame(rows, "m int, doc_id long, topic int")
+    n = {}
+    for d, terms in lists:
+        for t in terms:
+            n[d, t] = n.get((d, t), 0) + 1
+    want = {}
+    for m, d, topic in rows:
+        for (e, t), c in n.items():
+            if d is not None and d == e:
+                want[m, topic, t] = want.get((m, topic, t), 0) + c
+    for form in (toks, long):
+        got = {(r.m, r.topic, r.term): r.tf for r in T.class_term_counts(assign, form, ["m"]).collect()}
+        assert got == want
+    plan = T.class_term_counts(assign, toks, ["m"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(tokens" not in plan
+
+
+def test_representative_docs_against_plain_python(spark):
+    """Scores of blocks of one document each, of one block, and of both forms of the counts are the plain ones."""
+    import math
+    from docsift.operators import topics as T
+    lists = [(i, [f"w{(i * j) % 7}" for j in range(1, 3 + i % 5)]) for i in range(1, 13)] + [(3, ["w1", "w1"]), (20, [])]
+    toks = spark.createDataFrame(lists, "doc_id long, tokens array<string>")
+    long = toks.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(
+        F.count(F.lit(1)).alias("n"))
+    rows = [(m, i, i % m) for m in (2, 3) for i in range(1, 13)] + [(2, 3, 0), (2, 20, 1)]
+    assign = spark.createDataFrame(rows, "m int, doc_id long, topic int")
+    ct = T.ctfidf(assign, long, ["m"])
+    w = {(r.m, r.topic, r.term): (r.weight, r.weight / r.tf) for r in ct.collect()}
+    n = {}
+    for d, terms in lists:
+        for t in terms:
+            n.setdefault(d, {}).setdefault(t, 0)
+            n[d][t] += 1
+    want = {}
+    for m, topic in {(m, t) for m, _, t in rows}:
+        norm = math.sqrt(sum(x[0] ** 2 for key, x in w.items() if key[:2] == (m, topic)))
+        sims = []
+        for d in {d for k, d, t in rows if (k, t) == (m, topic) and d in n}:
+            dot = sum(c * w[m, topic, t][0] * w[m, topic, t][1] for t, c in n[d].items())
+            sims.append((-round(dot / math.sqrt(sum((c * w[m, topic, t][1]) ** 2 for t, c in n[d].items())) / norm, 9), d))
+        for rank, (s, d) in enumerate(sorted(sims)[:3], 1):
+            want[m, topic, rank] = (d, -s)
+    for form, size in ((toks, 500_000), (toks, 2), (long, 4)):
+        got = T.representative_docs(ct, form, assign, 3, ["m"], block_tokens=size).collect()
+        assert {(r.m, r.topic, r.rank): (r.doc_id, round(r.similarity, 9)) for r in got} == want
