@@ -131,3 +131,57 @@ def test_representative_docs_against_plain_python(spark):
     for form, size in ((toks, 500_000), (toks, 2), (long, 4)):
         got = T.representative_docs(ct, form, assign, 3, ["m"], block_tokens=size).collect()
         assert {(r.m, r.topic, r.rank): (r.doc_id, round(r.similarity, 9)) for r in got} == want
+
+
+ODD_TEXTS = [(1, "Alpha alpha2 42 the ALPHA2 Kelvin 007bond x-ray a--b"), (2, "İstanbul naïve 3μm  beta gamma"),
+             (3, None), (4, ""), (5, "12 34 the of"), (5, "beta beta"), (6, "it's e-mail --- -ab ab- ſharp 9z"), (None, "lost")]
+
+
+def _odd(spark):
+    return spark.createDataFrame(ODD_TEXTS, "doc_id long, text string")
+
+
+def _sweep(spark):
+    return spark.createDataFrame([(m, d, t) for m in (5, 10) for d, t in ((1, 0), (2, 0), (3, 1), (4, 1), (5, 1 if m == 5 else 0), (6, -1))]
+                                 + [(5, 1, 0)], "min_cluster_size int, doc_id long, topic int")
+
+
+def test_texts_count_like_token_lists(spark):
+    from docsift.functions.text import tokens_alnum, tokens_coherence
+    from docsift.operators import tokens as C
+    docs, assign = _odd(spark), _sweep(spark)
+    for texts, lists in ((C.doc_texts(docs, "text"), tokens_alnum("text")),
+                         (C.coherence_texts(docs, "text"), tokens_coherence("text"))):
+        want = T.ctfidf(assign, docs.select("doc_id", lists.alias("tokens")), ["min_cluster_size"])
+        got = T.ctfidf(assign, texts, ["min_cluster_size"])
+        rows = [sorted((r.min_cluster_size, r.topic, r.term, r.tf, round(r.weight, 12)) for r in x.collect()) for x in (got, want)]
+        assert rows[0] == rows[1] and len(rows[0]) > 10
+
+
+def test_counts_held_by_a_task_are_handed_on(spark, monkeypatch):
+    import pyarrow as pa
+    from docsift.operators import tokens as C
+    monkeypatch.setattr(C, "HELD_TERMS", 2)
+    batch = pa.RecordBatch.from_pydict({"sig": [7, 8, 7], "alnum_text": ["cat dog cat", "cat the 5", "Emu CAT"]})
+    out = [r for b in C.count_terms("alnum_text", "sig")(iter([batch, batch])) for r in b.to_pylist()]
+    assert len(out) == 8                                  # each batch's counts on their own
+    total = {}
+    for r in out:
+        total[r["sig"], r["term"]] = total.get((r["sig"], r["term"]), 0) + r["n"]
+    assert total == {(7, "cat"): 6, (7, "dog"): 2, (7, "emu"): 2, (8, "cat"): 2}
+
+
+def test_ctfidf_shuffles_counts_by_term_alone(spark):
+    from docsift.operators import tokens as C
+    ct = T.ctfidf(_sweep(spark), C.doc_texts(_odd(spark), "text"), ["min_cluster_size"])
+    plan = ct._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line and "term#" in line]
+    assert len(dealt) == 1 and "hashpartitioning(term#" in dealt[0]
+
+
+def test_ctfidf_of_many_topic_sets_is_the_same(spark, monkeypatch):
+    from docsift.operators import tokens as C
+    texts = C.doc_texts(_odd(spark), "text")
+    few = sorted(map(tuple, T.ctfidf(_sweep(spark), texts, ["min_cluster_size"]).collect()))
+    monkeypatch.setattr(T, "FEW_SIGS", 0)
+    assert sorted(map(tuple, T.ctfidf(_sweep(spark), texts, ["min_cluster_size"]).collect())) == few
