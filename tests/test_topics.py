@@ -185,3 +185,27 @@ def test_ctfidf_of_many_topic_sets_is_the_same(spark, monkeypatch):
     few = sorted(map(tuple, T.ctfidf(_sweep(spark), texts, ["min_cluster_size"]).collect()))
     monkeypatch.setattr(T, "FEW_SIGS", 0)
     assert sorted(map(tuple, T.ctfidf(_sweep(spark), texts, ["min_cluster_size"]).collect())) == few
+
+
+def test_representative_docs_of_texts_and_lists_agree(spark):
+    from docsift.functions.text import tokens_alnum
+    from docsift.operators import tokens as C
+    docs, assign, keys = _odd(spark), _sweep(spark), ["min_cluster_size"]
+    texts = C.doc_texts(docs, "text")
+    ct = T.ctfidf(assign, texts, keys)
+    lists = docs.select("doc_id", tokens_alnum("text").alias("tokens"))
+    counts = C.doc_term_freq(docs, "text")
+    got = [sorted((r.min_cluster_size, r.topic, r.rank, r.doc_id, round(r.similarity, 9)) for r in T.representative_docs(
+        ct, dtf, assign, 3, keys, block_tokens=size).collect())
+        for dtf, size in ((texts, 500_000), (texts, 2), (lists, 500_000), (lists, 2), (counts, 500_000))]
+    assert all(g == got[0] for g in got) and len(got[0]) == 8
+
+
+def test_representative_docs_hands_out_model_rows_without_terms(spark):
+    from docsift.operators import tokens as C
+    texts = C.doc_texts(_odd(spark), "text")
+    ct = T.ctfidf(_sweep(spark), texts, ["min_cluster_size"])
+    reps = T.representative_docs(ct, texts, _sweep(spark), 3, ["min_cluster_size"])
+    plan = reps._jdf.queryExecution().optimizedPlan().toString()
+    group = next(line for line in plan.splitlines() if "FlatMapCoGroupsInPandas" in line)
+    assert "term" not in group.split("score", 1)[1]
