@@ -64,3 +64,11 @@ def test_alignment_report_and_binned_melt(spark):
     m = {(r.row_bin, r.dim): r.value
          for r in V.melt_binned(vecs.withColumnRenamed("vec_id", "doc_id"), 2).collect()}
     assert m[(0, 0)] == 1.0 and m[(1, 1)] == 4.0 and m[(2, 0)] == 0.0
+
+
+def test_documents_are_embedded_once(spark):
+    from docsift.plans import bindings as bind
+    from docsift.plans import queries as Q
+    vecs = Q._doc_vectors(spark, "/root/testdata/sf0.001", bind.clean_documents(spark, "/root/testdata/sf0.001"))
+    assert getattr(vecs, "_docsift_table", None)
+    assert "regexp_extract_all" not in vecs._jdf.queryExecution().optimizedPlan().toString()
