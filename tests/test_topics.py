@@ -209,3 +209,45 @@ def test_representative_docs_hands_out_model_rows_without_terms(spark):
     plan = reps._jdf.queryExecution().optimizedPlan().toString()
     group = next(line for line in plan.splitlines() if "FlatMapCoGroupsInPandas" in line)
     assert "term" not in group.split("score", 1)[1]
+
+
+def test_words_held_are_the_same_from_texts_and_token_lists(spark, monkeypatch):
+    from docsift.functions.text import tokens_coherence
+    from docsift.operators import coherence as H
+    from docsift.operators import tokens as C
+    docs = _odd(spark).unionByName(_odd(spark).limit(1))
+    lists = spark.createDataFrame([(m, 0, i, t) for m in (5, 10) for i, t in enumerate(
+        ["alpha", "x-ray", "beta", "the", "ab", "---", "naïve", "μm", "9z", "none", "kelvin", "-ab", "sharp"][:m + 3], 1)],
+        "min_cluster_size int, topic int, rank int, term string")
+    keys = ["min_cluster_size"]
+    rows = lambda d: sorted(map(str, H.doc_vocab(d, lists, keys).collect()))
+    want = rows(docs.select("doc_id", tokens_coherence("text").alias("tokens")))
+    texts = C.coherence_texts(docs, "text")
+    plan = H.doc_vocab(texts, lists, keys)._jdf.queryExecution().executedPlan().toString()
+    assert rows(texts) == want and len(want) > 10 and "regexp_extract_all" not in plan
+    monkeypatch.setattr(H, "FEW_WORDS", 2)
+    assert rows(texts) == want
+
+
+def test_a_tasks_texts_are_counted_in_chunks(monkeypatch):
+    import pyarrow as pa
+    from docsift.operators import tokens as C
+    monkeypatch.setattr(C, "CHUNK_BYTES", 9)
+    batch = pa.RecordBatch.from_pydict({"sig": [7, 8, 7, 7], "alnum_text": ["cat dog cat", "", " cat\x00the 5 É", "a very long text of cats"]})
+    got = [(r["sig"], r["term"], r["n"]) for b in C.count_terms("alnum_text", "sig")(iter([batch.slice(1), batch])) for r in b.to_pylist()]
+    assert sorted(got) == sorted([(7, "cat", 2), (7, "dog", 1), *2 * [(7, "cat", 1), (7, "long", 1), (7, "text", 1), (7, "cats", 1)]])
+
+
+def test_a_term_is_dealt_whole_across_batches():
+    import pyarrow as pa
+    entries = [(3, 0, 0, 1), (3, 2, 1, 2), (4, 1, 0, 1), (4, 2, 1, 1)]
+    rows = [(3, "a", 1), (3, "b", 5), (4, "b", 7), (4, "c", 2)]
+    batches = [pa.RecordBatch.from_pydict({"sig": [s], "term": [t], "n": [n]}) for s, t, n in rows]
+    got = sorted(tuple(r.values()) for b in T._dealer(entries)(iter(batches)) for r in b.to_pylist())
+    assert got == [("a", 0, 1, 1), ("a", 2, 2, 2), ("b", 0, 5, 12), ("b", 1, 7, 12), ("b", 2, 17, 17), ("c", 1, 2, 2), ("c", 2, 2, 2)]
+
+
+def test_ctfidf_sorts_counts_once_before_settings(spark):
+    from docsift.operators import tokens as C
+    plan = T.ctfidf(_sweep(spark), C.doc_texts(_odd(spark), "text"), ["min_cluster_size"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "min_cluster_size" not in plan.split("Sort [", 1)[1].split("]", 1)[0]
